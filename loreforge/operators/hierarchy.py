@@ -21,13 +21,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreforge.operators.joins import hot_key_join
+from loreforge.operators.joins import HOT_ROWS, hot_key_join
 from loreforge.session import table
 
 
-def _lookup(many: DataFrame, key: str, one: DataFrame, how: str = "left") -> DataFrame:
-    """``many`` joined on ``key`` to ``one(id, ...)``; ``id`` of ``one`` comes back as ``key``."""
-    return hot_key_join(many, one.withColumnRenamed("id", key), key, how)
+def _lookup(many: DataFrame, key: str, one: DataFrame, how: str = "left", rows: int | None = None) -> DataFrame:
+    """``many`` joined on ``key`` to ``one(id, ...)``; ``id`` of ``one`` comes back as ``key``.
+
+    ``rows``: how many rows ``many`` has at most, where known; few rows have no hot key to look for.
+    """
+    small = rows is not None and rows < HOT_ROWS
+    return hot_key_join(many, one.withColumnRenamed("id", key), key, how, hot=[] if small else None)
 
 
 def _count(df: DataFrame, cond: Column) -> int:
@@ -56,7 +60,7 @@ def _climb(forest: DataFrame) -> tuple[DataFrame, int]:
         walking = state.filter(F.col("ptr").isNotNull())
         gains = walking.groupBy("ptr").agg(F.sum("size").alias("gain")).withColumnRenamed("ptr", "id")
         up = state.select("id", F.col("ptr").alias("next"), F.col("root").alias("up_root"), F.col("depth").alias("up_depth"))
-        moved = _lookup(walking, "ptr", up).select(
+        moved = _lookup(walking, "ptr", up, rows=n).select(
             "id",
             F.col("next").alias("ptr"),
             (F.col("dist") * 2).alias("dist"),
@@ -69,7 +73,7 @@ def _climb(forest: DataFrame) -> tuple[DataFrame, int]:
         state = table(state, "climb")
 
 
-def _circles(rest: DataFrame) -> DataFrame:
+def _circles(rest: DataFrame, rows: int) -> DataFrame:
     """``rest(id, parent)``, all walking into circles, to ``(id, label)`` of the nodes on circles."""
     state = table(rest.select("id", F.col("parent").alias("ptr"), F.col("id").alias("low")), "circle")
     image = -1
@@ -79,11 +83,11 @@ def _circles(rest: DataFrame) -> DataFrame:
             break
         image = n
         nxt = state.select("id", F.col("ptr").alias("next"), F.col("low").alias("low2"))
-        state = table(_lookup(state, "ptr", nxt).select("id", F.col("next").alias("ptr"), F.least("low", "low2").alias("low")), "circle")
+        state = table(_lookup(state, "ptr", nxt, rows=rows).select("id", F.col("next").alias("ptr"), F.least("low", "low2").alias("low")), "circle")
     on = table(state.join(state.select(F.col("ptr").alias("id")).distinct(), "id", "left_semi"), "circle")
     while True:  # the walk of 2^k steps now covers each circle, or soon will
         nxt = on.select("id", F.col("ptr").alias("next"), F.col("low").alias("low2"))
-        step = table(_lookup(on, "ptr", nxt).select("id", F.col("next").alias("ptr"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("fell")), "circle")
+        step = table(_lookup(on, "ptr", nxt, rows=rows).select("id", F.col("next").alias("ptr"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("fell")), "circle")
         on = step.drop("fell")
         if not _count(step, F.col("fell")):
             return on.select("id", F.col("low").alias("label"))
@@ -100,8 +104,9 @@ def resolve(links: DataFrame, node: str = "id", parent: str = "parent") -> DataF
     parent. Extra columns are ignored. An empty table gives an empty result.
     """
     nodes = table(links.filter(F.col(node).isNotNull()).groupBy(F.col(node).cast("long").alias("id")).agg(F.max(F.col(parent).cast("long")).alias("parent")), "nodes")
+    total = nodes.count()
     known = nodes.select("id", F.lit(True).alias("known"))
-    pointing = _lookup(nodes.filter(F.col("parent").isNotNull()), "parent", known)
+    pointing = _lookup(nodes.filter(F.col("parent").isNotNull()), "parent", known, rows=total)
     linked = table(
         pointing.select("id", "parent", F.when(F.col("known"), F.col("parent")).alias("tree_parent")).unionByName(
             nodes.filter(F.col("parent").isNull()).select("id", "parent", F.col("parent").alias("tree_parent"))
@@ -113,19 +118,17 @@ def resolve(links: DataFrame, node: str = "id", parent: str = "parent") -> DataF
     if endless:
         stuck = state.filter(F.col("ptr").isNotNull()).select("id")
         rest = linked.join(stuck, "id", "left_semi").select("id", F.col("tree_parent").alias("parent"))
-        labels = table(_circles(rest), "labels")
+        labels = table(_circles(rest, endless), "labels")
         cut = rest.join(labels, "id", "left").select("id", F.when(F.col("label").isNull(), F.col("parent")).alias("parent"))
         again, _ = _climb(cut)
         state = state.filter(F.col("ptr").isNull()).unionByName(again)
     state = state.select("id", F.col("root").alias("tree_root"), "depth", "size")
     dangling = linked.filter(F.col("parent").isNotNull() & F.col("tree_parent").isNull()).select(F.col("id").alias("tree_root"), F.lit(True).alias("open"))
-    out = hot_key_join(linked.join(state, "id"), dangling, "tree_root", "left")
+    out = _lookup(linked.join(state, "id"), "tree_root", dangling.withColumnRenamed("tree_root", "id"), rows=total)
     if labels is None:
-        labels = labels_of = None
         out = out.withColumn("label", F.lit(None).cast("long"))
     else:
-        labels_of = labels.withColumnRenamed("id", "tree_root")
-        out = hot_key_join(out, labels_of, "tree_root", "left")
+        out = _lookup(out, "tree_root", labels, rows=total)
     on_circle = F.col("id") == F.col("tree_root")
     status = F.when(F.col("label").isNotNull(), "cycle").when(F.col("open"), "open").otherwise("tree")
     return out.select(
