@@ -278,5 +278,5 @@ SELECT id, array_to_string(list_sort(list_filter(ws, lambda w: w IN ({_MARKERS})
 s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM s GROUP BY user_id, k""",
     "e6_hourly": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
-    "e9_never_repeat": "SELECT user_id::VARCHAR AS session_id, json_extract_string(props, '$.k')::BIGINT AS id, min(ts) AS "at" FROM events WHERE event_type = 'view' GROUP BY 1, 2",
+    "e9_never_repeat": """SELECT user_id::VARCHAR AS session_id, json_extract_string(props, '$.k')::BIGINT AS id, min(ts) AS "at" FROM events WHERE event_type = 'view' GROUP BY 1, 2""",
 }
