@@ -52,7 +52,8 @@ _CODE = re.compile(r"`[^`\r\n]*`|\|[^|\r\n]*(?:\|[^|\r\n]*)+\||\$ [^\r\n]*?(?=\s
 _SENTENCE = re.compile(r"[^.!?…\r\n]*(?:[.!?…](?!\s|$|[\"'”’»)\]]*(?:\s|$))[^.!?…\r\n]*)*(?:[.!?…]+[\"'”’»)\]]*(?=\s|$))?", re.M)
 _WORD = re.compile(r"(?<![\w.\-/:@\\])[^\W\d_]+(?![\w\-/:@\\]|\.\w)")
 _MARKS = re.compile("[̀-ͯ]+")
-_LEAD = re.compile(r"(?:[^\w]|\d{1,2}:\d{2}\b|\b[A-Z]{3,}:)*")
+_LEAD = re.compile(r"(?:[^\w]|\d+\b|[A-Z]{3,}:)*")
+_TAIL = re.compile(r"[.!?…][\"'”’»)\]]*$")
 
 
 def fold(text: str) -> str:
@@ -77,21 +78,23 @@ def label_language(label: Column) -> Column:
 def segments(text: str) -> list[tuple[int, int, bool]]:
     """``(start, end, whole)`` of a text's segments; code, paths, log and table lines are in none.
 
-    ``whole``: begins with a capital (after bullets, time stamps and headings in capitals) and
-    ends with a full stop, question or exclamation mark.
+    ``whole``: begins with a capital (after bullets, numbers and headings in capitals) and ends
+    with a full stop, question or exclamation mark, or at a line end; at the end of the text
+    only where no sentence of the text has such a mark (elsewhere it may have been cut off).
     """
     plain = _CODE.sub(lambda m: "\n" * len(m.group()), text)
-    out = []
+    out, marked, last = [], False, len(plain.rstrip())
     for m in _SENTENCE.finditer(plain):
         s, e = m.span()
-        while s < e and plain[s].isspace():
-            s += 1
-        if s >= e:
-            continue
         head = _LEAD.match(plain, s, e).end()
-        whole = head < e and plain[head].isupper() and re.search(r"[.!?…][\"'”’»)\]]*$", plain[s:e]) is not None
-        out.append((s, e, bool(whole)))
-    return out
+        if head == e:
+            continue
+        while plain[s].isspace():
+            s += 1
+        ends = _TAIL.search(plain, max(s, e - 4), e) is not None
+        marked = marked or ends
+        out.append((s, e, plain[head].isupper(), ends))
+    return [(s, e, up and (ends or e < last or not marked)) for s, e, up, ends in out]
 
 
 class Model:
@@ -143,22 +146,25 @@ class Model:
 
 def train(rows: Iterable[tuple[str, str]], rounds: int = 3) -> Model:
     """A model of ``(language, text)`` rows: first by their labels, then by what it says of each sentence itself."""
-    sents = [(g, [*{*_WORD.findall(fold(t[s:e]))}]) for g, t in rows for s, e, _ in segments(t)]
+    found = ((LANGS.index(g), {*_WORD.findall(fold(t[s:e]))}) for g, t in rows for s, e, _ in segments(t))
+    sents = [(g, ws) for g, ws in found if len(ws) >= 3]
+    tongue = np.array([g for g, _ in sents], np.int64)
+    codes: dict[str, int] = {}
+    flat = np.array([codes.setdefault(w, len(codes)) for _, ws in sents for w in sorted(ws)], np.int64)
+    at = np.cumsum([0] + [len(ws) for _, ws in sents])
+    vocab, of = list(codes), np.repeat(np.arange(len(sents)), np.diff(at))
     model = None
     for _ in range(rounds + 1):
-        counts, docs = {g: Counter() for g in LANGS}, {g: 1 for g in LANGS}
-        for g, ws in sents:
-            if len(ws) < 3:
-                continue
-            if model is not None:
-                s = np.sum([model.score(w) for w in ws], axis=0)
-                top = np.sort(s)
-                if top[-1] < WHOLE or top[-1] - top[-2] < 3:
-                    continue
-                g = LANGS[int(s.argmax())]
-            counts[g].update(ws)
-            docs[g] += 1
-        model = Model(counts, docs)
+        sure = np.ones(len(sents), bool)
+        if model is not None and len(sents):
+            s = np.add.reduceat(np.array([model.score(w) for w in vocab])[flat], at[:-1], axis=0)
+            top = np.sort(s, axis=1)
+            sure, tongue = (top[:, -1] >= WHOLE) & (top[:, -1] - top[:, -2] >= 3), s.argmax(1)
+        counts = {}
+        for k, g in enumerate(LANGS):
+            n = np.bincount(flat[(sure & (tongue == k))[of]], minlength=len(vocab))
+            counts[g] = Counter({vocab[i]: int(n[i]) for i in np.flatnonzero(n)})
+        model = Model(counts, {g: 1 + int((sure & (tongue == k)).sum()) for k, g in enumerate(LANGS)})
     return model
 
 
@@ -172,8 +178,7 @@ def _mix(score: np.ndarray, doc: np.ndarray, n: int, allowed: np.ndarray, rounds
         e = np.exp(z - top)
         s = e.sum(1, keepdims=True)
         post = e / s
-        sums = np.zeros((n, score.shape[1]))
-        np.add.at(sums, doc, post)
+        sums = np.stack([np.bincount(doc, post[:, g], minlength=n) for g in range(post.shape[1])], 1)
         size = np.bincount(doc, minlength=n)[:, None]
         pi = (sums + 0.02 * allowed) / np.maximum(size + 0.02 * allowed.sum(1, keepdims=True), 1e-9)
     ll = np.bincount(doc, (top + np.log(s))[:, 0], minlength=n)
@@ -202,25 +207,32 @@ def infer(model: Model, texts: list[str | None], penalty: float = PENALTY) -> tu
     idx = np.array([codes.setdefault(w, len(codes)) for w in flat])
     table = np.array([model.score(w) for w in codes])
     score = np.add.reduceat(table[idx], at, axis=0)
-    totals = np.zeros((n, k))
-    np.add.at(totals, doc, score)
+    totals = np.stack([np.bincount(doc, score[:, g], minlength=n) for g in range(k)], 1)
     chosen = np.zeros((n, k), bool)
     chosen[np.arange(n), totals.argmax(1)] = True
-    pi, post, ll = _mix(score, doc, n, chosen.astype(float))
-    best = np.zeros((n, k))
-    np.maximum.at(best, doc, score)
+    main = chosen.argmax(1)
+    over = np.maximum(score - score[np.arange(len(doc)), main[doc]][:, None], 0)
+    bound = np.stack([np.bincount(doc, over[:, g], minlength=n) for g in range(k)], 1)  # no language can gain more
+    some = np.flatnonzero((bound > penalty).any(1))
+    pi, post = chosen.astype(float), chosen[doc].astype(float)
+    if not len(some):
+        return spans, doc, score, post, pi, chosen
+    at_seg = np.flatnonzero(np.isin(doc, some))
+    sub, sc, m, few = np.searchsorted(some, doc[at_seg]), score[at_seg], len(some), chosen[some]
+    p, q, ll = _mix(sc, sub, m, few.astype(float))
     for _ in range(k - 1):
-        gains = np.full((n, k), -np.inf)
+        gains = np.full((m, k), -np.inf)
         for g in range(k):
-            more = chosen.copy()
+            more = few.copy()
             more[:, g] = True
-            gains[:, g] = np.where(chosen[:, g], -np.inf, _mix(score, doc, n, more.astype(float), 4)[2] - ll)
+            gains[:, g] = np.where(few[:, g], -np.inf, _mix(sc, sub, m, more.astype(float), 4)[2] - ll)
         pick = gains.argmax(1)
-        grow = np.flatnonzero(gains[np.arange(n), pick] > penalty)
+        grow = np.flatnonzero(gains[np.arange(m), pick] > penalty)
         if not len(grow):
             break
-        chosen[grow, pick[grow]] = True
-        pi, post, ll = _mix(score, doc, n, chosen.astype(float))
+        few[grow, pick[grow]] = True
+        p, q, ll = _mix(sc, sub, m, few.astype(float))
+    pi[some], post[at_seg], chosen[some] = p, q, few
     return spans, doc, score, post, pi, chosen
 
 
