@@ -18,11 +18,11 @@ Steps, each a number of joins in the logarithm of the depth:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreforge.operators.joins import HOT_ROWS, hot_key_join
-from loreforge.session import table
+from loreforge.session import counted_table, table
 
 
 def _lookup(many: DataFrame, key: str, one: DataFrame, how: str = "left", rows: int | None = None) -> DataFrame:
@@ -34,10 +34,6 @@ def _lookup(many: DataFrame, key: str, one: DataFrame, how: str = "left", rows:
     return hot_key_join(many, one.withColumnRenamed("id", key), key, how, hot=[] if small else None)
 
 
-def _count(df: DataFrame, cond: Column) -> int:
-    return df.filter(cond).count()
-
-
 def _climb(forest: DataFrame) -> tuple[DataFrame, int]:
     """``forest(id, parent)`` to ``(id, ptr, dist, size, root, depth)`` and the number of walks that never end.
 
@@ -51,9 +47,9 @@ def _climb(forest: DataFrame) -> tuple[DataFrame, int]:
         F.when(F.col("parent").isNull(), F.col("id")).alias("root"),
         F.when(F.col("parent").isNull(), F.lit(0)).cast("long").alias("depth"),
     )
-    state, left = table(state, "climb"), -1
+    open_ = F.col("ptr").isNotNull()
+    (state, n), left = counted_table(state, open_, "climb"), -1
     while True:
-        n = _count(state, F.col("ptr").isNotNull())
         if n in (0, left):
             return state, n
         left = n
@@ -70,7 +66,7 @@ def _climb(forest: DataFrame) -> tuple[DataFrame, int]:
         )
         state = moved.unionByName(state.filter(F.col("ptr").isNull()))
         state = state.join(gains, "id", "left").withColumn("size", F.col("size") + F.coalesce("gain", F.lit(0))).drop("gain")
-        state = table(state, "climb")
+        state, n = counted_table(state, open_, "climb")
 
 
 def _circles(rest: DataFrame, rows: int) -> DataFrame:
@@ -87,9 +83,10 @@ def _circles(rest: DataFrame, rows: int) -> DataFrame:
     on = table(state.join(state.select(F.col("ptr").alias("id")).distinct(), "id", "left_semi"), "circle")
     while True:  # the walk of 2^k steps now covers each circle, or soon will
         nxt = on.select("id", F.col("ptr").alias("next"), F.col("low").alias("low2"))
-        step = table(_lookup(on, "ptr", nxt, rows=rows).select("id", F.col("next").alias("ptr"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("fell")), "circle")
+        step = _lookup(on, "ptr", nxt, rows=rows).select("id", F.col("next").alias("ptr"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("fell"))
+        step, fell = counted_table(step, F.col("fell"), "circle")
         on = step.drop("fell")
-        if not _count(step, F.col("fell")):
+        if not fell:
             return on.select("id", F.col("low").alias("label"))
 
 
@@ -103,8 +100,8 @@ def resolve(links: DataFrame, node: str = "id", parent: str = "parent") -> DataF
     Rows with a null id are left out; several rows of one id count once, with the largest
     parent. Extra columns are ignored. An empty table gives an empty result.
     """
-    nodes = table(links.filter(F.col(node).isNotNull()).groupBy(F.col(node).cast("long").alias("id")).agg(F.max(F.col(parent).cast("long")).alias("parent")), "nodes")
-    total = nodes.count()
+    nodes = links.filter(F.col(node).isNotNull()).groupBy(F.col(node).cast("long").alias("id")).agg(F.max(F.col(parent).cast("long")).alias("parent"))
+    nodes, total = counted_table(nodes, F.lit(True), "nodes")
     known = nodes.select("id", F.lit(True).alias("known"))
     pointing = _lookup(nodes.filter(F.col("parent").isNotNull()), "parent", known, rows=total)
     linked = table(
@@ -148,20 +145,22 @@ def _chains(nodes: DataFrame) -> DataFrame:
     heavy = nodes.filter(F.col("tree_parent").isNotNull()).groupBy("tree_parent").agg(F.max_by("id", F.struct("size", -F.col("id"))).alias("id"))
     heavy = heavy.select("id", F.lit(True).alias("heavy"))
     marked = nodes.join(heavy, "id", "left")
-    state = table(
+    open_ = F.col("ptr").isNotNull()
+    state, n = counted_table(
         marked.select(
             "id",
             F.when(F.col("heavy"), F.col("tree_parent")).alias("ptr"),
             F.when(F.col("heavy").isNull(), F.col("id")).alias("chain"),
             F.col("depth"),
         ),
+        open_,
         "chain",
     )
-    while _count(state, F.col("ptr").isNotNull()):
+    while n:
         up = state.select("id", F.col("ptr").alias("next"), F.col("chain").alias("up_chain"))
         moved = state.filter(F.col("ptr").isNotNull()).join(up.withColumnRenamed("id", "ptr"), "ptr")
         moved = moved.select("id", F.col("next").alias("ptr"), F.col("up_chain").alias("chain"), "depth")
-        state = table(moved.unionByName(state.filter(F.col("ptr").isNull())), "chain")
+        state, n = counted_table(moved.unionByName(state.filter(F.col("ptr").isNull())), open_, "chain")
     heads = state.filter(F.col("id") == F.col("chain")).select(F.col("id").alias("chain"), F.col("depth").alias("head_depth"))
     placed = hot_key_join(state.select("id", "chain"), heads, "chain")
     return nodes.join(placed, "id").withColumn("pos", F.col("depth") - F.col("head_depth")).drop("head_depth")

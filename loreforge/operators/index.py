@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreforge.functions.text import index_tokens, query_terms, stem
+from loreforge.session import table
 
 K1, B = 1.2, 0.75
 COLUMN_GAP = 1 << 20  # phrases never reach from one column into the next
@@ -21,10 +22,11 @@ class Index:
     lengths: DataFrame
 
     def stored(self) -> Index:
-        """The index written to the shared folder, its postings hashed and sorted by term so that lookups skip row groups."""
-        from loreforge.session import table
+        """The index written to the shared folder, sorted by term within files so that lookups skip row groups.
 
-        return Index(table(self.postings.repartition("term").sortWithinPartitions("term"), "postings"), table(self.lengths, "lengths"))
+        Files stay hashed by word and document: a word that is in every document is spread over all of them.
+        """
+        return Index(table(self.postings.sortWithinPartitions("term"), "postings"), table(self.lengths, "lengths"))
 
     def stats(self) -> DataFrame:
         return self.lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
@@ -59,7 +61,8 @@ def plan_queries(queries: DataFrame) -> DataFrame:
     """
     q = queries.withColumn("terms", query_terms(F.col("query")))
     q = q.withColumn("stems", F.transform("terms", stem))
-    return q.withColumn("has_all", F.size("terms") >= 2).withColumn("has_prefix", F.exists(F.zip_with("terms", "stems", lambda a, b: a != b), lambda x: x))
+    q = q.withColumn("has_all", F.size("terms") >= 2).withColumn("has_prefix", F.exists(F.zip_with("terms", "stems", lambda a, b: a != b), lambda x: x))
+    return table(q, "plan")  # every retriever reads it
 
 
 def phrases(plan: DataFrame, source: str) -> DataFrame:
@@ -104,7 +107,8 @@ def bm25(index: Index, wanted: DataFrame, prefix: bool = False) -> DataFrame:
     A phrase in more than half of the documents keeps a tiny weight instead of a negative
     one. Scores are rounded to nine places, so that equal ones tie.
     """
-    hits = matches(index, wanted, prefix)
+    wanted = table(wanted.select("query_id", "phrase", "parts").distinct(), "wanted")
+    hits = table(matches(index, wanted, prefix), "hits")  # read for the frequencies and for the scores
     stats = index.stats()
     df = hits.groupBy("phrase").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # one row of statistics
     idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -112,5 +116,4 @@ def bm25(index: Index, wanted: DataFrame, prefix: bool = False) -> DataFrame:
     norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
     scored = hits.join(weights, "phrase").join(index.lengths, "id").select("phrase", "id", gain.alias("gain"))
-    asked = wanted.select("query_id", "phrase").distinct()
-    return scored.join(asked, "phrase").groupBy("query_id", "id").agg(F.round(-F.sum("gain"), 9).alias("score"), F.count("*").alias("n_matched"))
+    return scored.join(wanted.select("query_id", "phrase"), "phrase").groupBy("query_id", "id").agg(F.round(-F.sum("gain"), 9).alias("score"), F.count("*").alias("n_matched"))

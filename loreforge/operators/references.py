@@ -91,7 +91,7 @@ def knowledge_store_references(lessons: DataFrame, archive: DataFrame, chunks: D
     """``(children, state)`` of the three references of the store; each input may hold versions and repeats."""
     first = F.min("loaded_at").alias("first_load")
     les = lessons.groupBy("id").agg(F.max_by("repeats", F.struct("updated_at", "loaded_at")).alias("ref_id"), first)
-    chu = chunks.groupBy("id").agg(F.min_by("lesson_id", "loaded_at").alias("ref_id"), first)
+    chu = chunks.groupBy("id").agg(F.min_by("lesson_id", F.struct(F.col("loaded_at").isNull(), F.col("loaded_at"))).alias("ref_id"), first)
     emb = embeddings.groupBy(F.col("chunk_id").alias("id")).agg(first).withColumn("ref_id", F.col("id"))
 
     def child(df: DataFrame, name: str, target: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,20 +18,24 @@ WEIGHTS = {"all": 3.0, "any": 1.5, "prefix": 0.6, "chunk_all": 3.0, "chunk_any":
 GLOBAL_BOOST, TOOL_COVERAGE, HOOK_COVERAGE = 1.05, 0.6, 0.4
 
 
-@dataclass(frozen=True)
 class Store:
-    """Current lessons, their passages, and the index of each."""
-
-    lessons: DataFrame
-    passages: DataFrame
-    lesson_index: Index
-    passage_index: Index
-
-    @classmethod
-    def of(cls, lessons: DataFrame, passages: DataFrame) -> Store:
-        """``lessons(id, content, ...)`` one row per id; ``passages(id, lesson_id, text)`` of these lessons."""
-        live = passages.join(lessons.select(F.col("id").alias("lesson_id")), "lesson_id", "left_semi")
-        return cls(lessons, live, build(lessons, FIELDS).stored(), build(live, ["text"]).stored())
+    """Current lessons and their passages, with an index of each that is built and written when first needed.
+
+    ``lessons(id, content, ...)`` one row per id; ``passages(id, lesson_id, text)``, of which
+    those without a lesson are left out.
+    """
+
+    def __init__(self, lessons: DataFrame, passages: DataFrame):
+        self.lessons = lessons
+        self.passages = passages.join(lessons.select(F.col("id").alias("lesson_id")), "lesson_id", "left_semi")
+
+    @cached_property
+    def lesson_index(self) -> Index:
+        return build(self.lessons, FIELDS).stored()
+
+    @cached_property
+    def passage_index(self) -> Index:
+        return build(self.passages, ["text"]).stored()
 
 
 def depth(limit: int = 10) -> int:

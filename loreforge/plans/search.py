@@ -28,7 +28,7 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def store(spark: SparkSession, d: str) -> retrieve.Store:
-    return retrieve.Store.of(table(lessons(spark, d), "lessons"), passages(spark, d))
+    return retrieve.Store(table(lessons(spark, d), "lessons"), table(passages(spark, d), "passages"))
 
 
 def t1_query_plan(spark: SparkSession, d: str) -> DataFrame:

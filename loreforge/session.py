@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -45,6 +46,13 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def counted_table(df: DataFrame, cond: Column, name: str = "t") -> tuple[DataFrame, int]:
+    """``table`` and how many of its rows meet ``cond``, counted while they are written."""
+    seen = Observation()
+    out = table(df.observe(seen, F.count_if(cond).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def table(df: DataFrame, name: str = "t", partitions: int | None = None) -> DataFrame:
     """Write ``df`` as a parquet table in the shared folder and read it back.
 

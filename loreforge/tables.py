@@ -29,12 +29,12 @@ def current(df: DataFrame, *columns: str, key: str = "id") -> DataFrame:
 
 
 def one_per_key(df: DataFrame, key: str, *columns: str) -> DataFrame:
-    """One record per key: the row that arrived first (``loaded_at``), ties by the columns' order."""
+    """One record per key: the row that arrived first; rows without ``loaded_at`` count as the last."""
     pick = F.struct(*[F.col(c) for c in columns])
     return (
         df.filter(F.col(key).isNotNull())
         .groupBy(key)
-        .agg(F.min_by(pick, F.col("loaded_at")).alias("_row"))
+        .agg(F.min_by(pick, F.struct(F.col("loaded_at").isNull(), F.col("loaded_at"))).alias("_row"))
         .select(key, *[F.col("_row")[c].alias(c) for c in columns])
     )
 
