@@ -50,7 +50,7 @@ def update(index: Index, changed: DataFrame, columns: list[str], removed: DataFr
     if removed is not None:
         gone = gone.unionByName(removed.select(F.col(key).alias("id")))
     gone = gone.distinct()
-    keep = lambda df: df.join(gone, "id", "left_anti")
+    keep = lambda df: df.join(gone, "id", "left_anti").select(df.columns)
     return Index(keep(index.postings).unionByName(fresh.postings), keep(index.lengths).unionByName(fresh.lengths))
 
 

@@ -69,7 +69,7 @@ def export_document(lessons: DataFrame, patterns: DataFrame | None = None) -> Da
 
 def read_notes(spark: SparkSession, folder: str) -> DataFrame:
     """``(source, name, description, type, body)`` of notes with front matter in ``memory`` folders; notes without it are left out."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder)
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     files = files.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
     files = files.filter(F.col("source").rlike("/memory/") & ~F.col("source").endswith("/MEMORY.md"))
     return parse_notes(files)
