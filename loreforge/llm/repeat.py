@@ -3,8 +3,9 @@
 A text that repeats itself compresses better than others of its length. The ratio of the
 whole text and of its fixed-size chunks is held against limits that depend on the length;
 texts under a limit are in the ``repetitive`` band, texts that hardly compress in the
-``incompressible`` band. The limits are wide: a text of the repetitive band is then
-measured exactly, as the share of runs of consecutive words that are not new.
+``incompressible`` band. A band only describes a text: how far repeats lower the ratio
+depends on the prose, so ``repetitive`` measures every text exactly, as the share of runs
+of consecutive words that are not new.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ def bands(texts: DataFrame, run: int = 5, exact: str = "repetitive") -> DataFram
 
 
 def repetitive(texts: DataFrame, least_runs: int = 40, share: float = 0.3, run: int = 5) -> DataFrame:
-    """``(id, runs, share)`` of the texts of the repetitive band with enough runs and repeated share."""
-    return bands(texts, run).filter((F.col("runs") >= least_runs) & (F.col("share") >= share - 1e-12)).select("id", "runs", "share")
+    """``(id, runs, share)`` of the texts with enough runs and repeated share, whatever their band."""
+    return bands(texts, run, exact=None).filter((F.col("runs") >= least_runs) & (F.col("share") >= share - 1e-12)).select("id", "runs", "share")
 
 

@@ -299,6 +299,16 @@ def test_repetition(spark):
     assert repeat.bands(df.limit(0)).count() == 0
 
 
+def test_repeats_in_texts_that_hardly_compress(spark):
+    r = random.Random(11)
+    say = lambda n: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9))) for _ in range(n))
+    rows = [(k, f"{(a := say(35 * k))} {say(30 * k)} {a.upper() if k % 2 else a}") for k in (1, 3, 5, 10, 25, 60)]
+    df = spark.createDataFrame([*rows, (99, say(400))], "id long, text string")
+    assert all(repeat.repeated_share(t)[1] >= 0.3 for _, t in rows)
+    assert {x["band"] for x in repeat.bands(df).collect()} <= {"plain", "incompressible"}
+    assert {x["id"] for x in repeat.repetitive(df).collect()} == {k for k, _ in rows}
+
+
 def test_far_repeats_of_a_long_text():
     block = " ".join(f"{i:x}{i * 7919 % 10007}" for i in range(220_000))
     assert len(block) > 1 << 21 and repeat._compressor()((block + block).encode()) < 0.6 * repeat._compressor()(block.encode())
