@@ -130,6 +130,21 @@ def near_duplicates(texts: DataFrame, size: int = 5, threshold: float = 0.8, lea
     return members, near_pairs(table(reps, "reps"), threshold, recall)
 
 
+def with_short(texts: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """``members(class_id, id)`` and beside them every id of ``texts(id, text)`` that has no shingles of ``size`` words.
+
+    Such texts are in one class when their words are the same in the same order, or, without
+    any word, when the texts are the same; a null text is a class of its own.
+    """
+    w = words(F.col("text"))
+    key = F.when(F.size(w) > 0, F.to_json(w)).otherwise(F.to_json(F.struct("text")))
+    key = F.coalesce(F.when(F.col("text").isNotNull(), key), F.concat(F.lit("null "), F.col("id").cast("string")))
+    short = texts.filter(F.col("id").isNotNull() & (F.size(w) < size)).select("id", key.alias("_k")).groupBy("id").agg(F.min("_k").alias("_k"))
+    short = table(short.join(members.select("id"), "id", "left_anti"), "short")
+    firsts = short.groupBy("_k").agg(F.min("id").alias("class_id"))
+    return members.select("class_id", "id").unionByName(hot_key_join(short, firsts, "_k").select("class_id", "id"))
+
+
 def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """``(id, group_id)``: connected groups of near-duplicates, named by their smallest id.
 

@@ -84,16 +84,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Every lesson with the group of near-duplicates it belongs to."""
+    """Every lesson with the group of near-duplicates it belongs to; one with fewer than ten words is alone."""
     members, pairs = _near_lessons(spark, d)
-    return neardup.groups(members, table(pairs, "pairs"))
+    found = neardup.groups(members, table(pairs, "pairs"))
+    every = current(read(spark, d, "lessons"), "content").select("id")
+    return every.join(found, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
 
 
 def p4_documents(spark: SparkSession, d: str) -> DataFrame:
     """Every document with its class of equal texts and its number of near-duplicates (five words, 0.8)."""
     texts = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    members, pairs = neardup.near_duplicates(texts)
-    return runs.links_per_id(pairs, members)
+    members, pairs = neardup.near_duplicates(texts, size=5, threshold=0.8, least_words=5)
+    return runs.links_per_id(pairs, neardup.with_short(texts, table(members, "members"), 5))
 
 
 def _model(spark: SparkSession, d: str) -> tuple[lang.Model, DataFrame]:

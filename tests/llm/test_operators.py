@@ -157,6 +157,20 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(df.limit(0))[1].count() == 0
 
 
+def test_short_texts_keep_their_rows(spark, tmp_path):
+    from loreforge.llm import queries
+
+    six, nine = "copy of only six words here", "one two three four five six seven eight nine"
+    rows = [(1, six), (2, six.upper()), (3, nine), (4, nine), (5, "two words"), (6, "Two words."), (7, "two other"), (8, ""), (9, ""), (10, None), (11, None), (12, " ".join(f"w{i}" for i in range(30))), (13, "!?")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["id"]: (x["class_id"], x["copies"], x["links"]) for x in queries.p4_documents(spark, str(tmp_path)).collect()}
+    twice = {i: (c, 2, 1) for i, c in ((1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5), (8, 8), (9, 8))}
+    assert got == twice | {i: (i, 1, 0) for i in (7, 10, 11, 12, 13)}
+    les = spark.createDataFrame([*rows, (14, rows[11][1])], "id long, content string")
+    les.selectExpr("*", "timestamp'2026-01-01' AS updated_at", "timestamp'2026-01-01' AS loaded_at").write.parquet(f"{tmp_path}/lessons.parquet")
+    assert {tuple(x) for x in queries.p4_groups(spark, str(tmp_path)).collect()} == {(i, i) for i, _ in rows} | {(14, 12)}
+
+
 # --- 7: languages ---
 
 
