@@ -212,6 +212,17 @@ def hierarchy(links: DataFrame, node: str = "id", parent: str = "parent") -> Dat
     )
 
 
+def located(links: DataFrame, node: str = "id", parent: str = "parent") -> DataFrame:
+    """``(id, parent, root_id, depth, status)`` of every node, root and depth from its chain and position.
+
+    Only the length and the first id of a chain's prefix travel, never a path.
+    """
+    nodes, chains = heavy_paths(links, node, parent)
+    heads = chains.select("chain", F.size("prefix").cast("long").alias("above"), F.coalesce(F.get("prefix", F.lit(0)), "chain").alias("top"))
+    root = F.when(F.col("status") == "cycle", F.col("root_id")).otherwise(F.col("top"))
+    return hot_key_join(nodes, heads, "chain").select("id", "parent", root.alias("root_id"), (F.col("above") + F.col("pos")).alias("depth"), "status")
+
+
 def descendants(links: DataFrame, node: str = "id", parent: str = "parent") -> DataFrame:
     """``(ancestor_id, descendant_id, distance)``, one row for each node and each node above it in its tree.
 

@@ -16,7 +16,7 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Root, depth and status of every lesson that repeats another."""
-    found = tree.resolve(_links(spark, d), parent="repeats").filter(F.col("parent").isNotNull())
+    found = tree.located(_links(spark, d), parent="repeats").filter(F.col("parent").isNotNull())
     return found.select("id", "root_id", "depth", "status")
 
 

@@ -77,3 +77,14 @@ def test_chain_lengths(spark):
     links = [(1, None), (2, 1), (3, 2), (4, 99), (5, 6), (6, 5), (7, 6)]
     got = {r["id"]: r["recurrence"] for r in chain_lengths(spark.createDataFrame(links, "id long, repeats long")).collect()}
     assert got == {2: 2, 3: 3, 4: 2, 5: 2, 6: 2, 7: 3}
+
+
+def test_located_takes_root_and_depth_from_chains(spark, data, monkeypatch):
+    from loreforge.plans import general
+
+    links = graph(5)
+    want = {i: w[:3] for i, w in brute(links).items()}
+    assert {r["id"]: (r["root_id"], r["depth"], r["status"]) for r in tree.located(spark.createDataFrame(list(links.items()), SCHEMA)).collect()} == want
+    called, paths = [], tree.heavy_paths
+    monkeypatch.setattr(tree, "heavy_paths", lambda *a: called.append(a) or paths(*a))
+    assert general.p5_found(spark, data).count() > 0 and called
