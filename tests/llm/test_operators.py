@@ -247,6 +247,12 @@ def test_token_counts(spark):
     assert {r["id"]: r["tokens"] for r in pack.count_tokens(df, None).collect()} == {1: 4, 2: 7, 3: 0}
 
 
+def test_containers_of_many_texts():
+    sizes = [12, 11, 9, 9, 5, 5, 4, 4]
+    assert len(pack.best_fit(sizes, 30)) > len(pack.complete(sizes, 30)) == 2
+    assert max(map(len, pack.complete(sizes, 30))) > 4
+
+
 # --- 9: leaks ---
 
 
