@@ -2,7 +2,8 @@
 
 The fewest pieces that can hold the text give equal-length targets; each target is moved
 to the strongest boundary near it (paragraph, line, sentence, word, any place), and when
-some piece then breaks the limit, one piece more is planned.
+some piece then breaks the limit, more pieces are planned. Where limit and overlap leave no
+room for targets (an overlap of nearly the limit), full pieces are cut wherever they end.
 """
 
 from __future__ import annotations
@@ -73,11 +74,25 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int
         return [(a, b, a)]
     body = text[a:b]
     n = 1 + math.ceil((len(body) - limit) / (limit - overlap))
-    while True:
+    pieces = None
+    while pieces is None and len(body) - overlap >= 2 * n:  # targets at least two characters apart
         pieces = _balanced(body, n, limit, overlap)
-        if pieces:
-            return [(s + a, e + a, f + a) for s, e, f in pieces]
-        n += 1
+        n += max(1, n // 20)
+    return [(s + a, e + a, f + a) for s, e, f in pieces or _hard(body, limit, overlap)]
+
+
+def _hard(body: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
+    """Full pieces with the full overlap, wherever the cuts fall; holds for every limit."""
+    out, start, fresh = [], 0, 0
+    while len(body) - start > limit:
+        at = start + limit
+        while at > fresh + 1 and _inside_mark(body, at):
+            at -= 1
+        if _inside_mark(body, at):
+            at = start + limit
+        out.append((start, at, fresh))
+        start, fresh = max(at - overlap, 0), at
+    return [*out, (start, len(body), fresh)]
 
 
 def _balanced(body: str, n: int, limit: int, overlap: int) -> list[tuple[int, int, int]] | None:

@@ -24,6 +24,17 @@ def test_cut_loses_nothing_and_keeps_limits(text, limit, overlap):
     assert (len(pieces) > 1) == (len(body) > limit)
 
 
+@pytest.mark.parametrize("limit,overlap", [(n, k) for n in (1, 2, 3, 4, 5, 6, 8, 10, 20, 50) for k in {0, 1, n // 2, n - 2, n - 1} if 0 <= k < n])
+def test_cut_ends_for_every_limit(limit, overlap):
+    r = random.Random(limit * 100 + overlap)
+    for alphabet in ("ab .\n", "a\r\n", "e\u0301", "a\u200d\ufe0f", "ab"):
+        for size in (0, 1, limit, limit + 1, 3 * limit, 150):
+            text = "".join(r.choice(alphabet) for _ in range(size))
+            pieces = split.cut(text, limit, overlap)
+            assert "".join(text[f:e] for _, e, f in pieces) == text.strip(split.BLANKS)
+            assert all(0 < e - s <= limit and 0 <= f - s <= overlap and f < e for s, e, f in pieces)
+
+
 def test_cut_prefers_strong_boundaries():
     text = ("A sentence of some words. " * 20).strip() + "\n\n" + ("Another sentence here. " * 25).strip()
     (_, end, _), (start, _, fresh) = split.cut(text, 1000, 100)
