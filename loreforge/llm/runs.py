@@ -2,9 +2,13 @@
 
 Rows are hashed by key, sorted within their task and streamed through Arrow; the pairs
 of one run of equal keys are formed inside the task, lag by lag, tested at once, and
-only those that pass leave it. A key with more than ``HOT_ROWS`` rows is split into
+only those that pass leave it. Keys that hold ``HOT_ROWS`` rows or more are split into
 blocks: each pair of blocks is a task of its own (so no task holds more than two
-blocks of a group), and every pair of rows meets in exactly one of them.
+blocks of a group), and every pair of rows meets in exactly one of them. Where rows have
+a longer prefix to go by, hot keys are first deepened by it.
+
+Which keys are hot is only a matter of how work is laid out, so it is estimated from the
+rows of one id in ``PROBE``; a key taken wrongly for hot, or not, changes no result.
 """
 
 from __future__ import annotations
@@ -13,13 +17,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreforge.operators.joins import hot_keys
+from loreforge.session import counted_table
 
 HOT_ROWS = 20_000
 BLOCK = 5_000
+PROBE = 16
+LISTED = 100_000  # hot keys are broadcast up to so many; beyond that they are joined with a salt
+SALT = 64
+CHUNK = 20_000
 
 
 class Batch:
@@ -30,31 +38,57 @@ class Batch:
         self.key = t["key"].to_numpy()
         self.id = t["id"].to_numpy()
         self.side = t["side"].to_numpy()
-        lists = t["payload"].combine_chunks()
-        if isinstance(lists, pa.ChunkedArray):
-            lists = lists.chunk(0) if lists.num_chunks else pa.array([], lists.type)
-        self.offsets = lists.offsets.to_numpy()
-        self.values = lists.values.to_numpy(zero_copy_only=False)
+        if "payload" in t.column_names:
+            lists = t["payload"].combine_chunks()
+            if isinstance(lists, pa.ChunkedArray):
+                lists = lists.chunk(0) if lists.num_chunks else pa.array([], lists.type)
+            self.offsets = lists.offsets.to_numpy()
+            self.values = lists.values.to_numpy(zero_copy_only=False)
+
+    def column(self, name: str) -> np.ndarray:
+        return self.table[name].to_numpy()
 
     def matrix(self, width: int) -> np.ndarray:
         """The payload as rows of ``width`` numbers."""
         return self.values[self.offsets[0] : self.offsets[-1]].reshape(-1, width)
 
 
-def split_hot(rows: DataFrame, hot_rows: int = HOT_ROWS, block: int = BLOCK) -> DataFrame:
-    """Adds ``side``; rows of hot keys are repeated once per pair of blocks that holds them."""
-    hot = hot_keys(rows, "key", least=hot_rows)
-    plain = rows.withColumn("side", F.lit(2).cast("int"))
-    if not hot:
-        return plain
-    is_hot = F.col("key").isin(hot)
-    sizes = rows.filter(is_hot).groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("_g"))
-    warm = rows.filter(is_hot).join(F.broadcast(sizes), "key").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_g")).cast("int"))
-    warm = warm.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
+def hot_sizes(probe: DataFrame, hot_rows: int, share: int) -> tuple[DataFrame, int]:
+    """``(key, _n)`` of the keys that hold about ``hot_rows`` rows or more by a probe of one row in ``share``, and how many there are."""
+    least = max(2, 0.7 * hot_rows / share)  # 20,000 rows give 1,250 +- 35 in the probe
+    sizes = probe.groupBy("key").agg((F.count("*") * share).alias("_n")).filter(F.col("_n") >= least * share)
+    return counted_table(sizes, F.lit(True), "hot")
+
+
+def _marked(rows: DataFrame, sizes: DataFrame, n: int) -> DataFrame:
+    """``rows`` with ``_n``, null for keys that are not hot."""
+    if n <= LISTED:
+        return rows.join(F.broadcast(sizes), "key", "left")
+    salted = sizes.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(salted, ["key", "_s"], "left").drop("_s")
+
+
+def split_hot(rows: DataFrame, probe: DataFrame, hot_rows: int = HOT_ROWS, block: int = BLOCK, deeper: Column | None = None, share: int = PROBE) -> DataFrame:
+    """Adds ``side``; rows of hot keys are repeated once per pair of blocks that holds them.
+
+    ``probe`` are the rows of one id in ``share``. With ``deeper`` a hot key is first
+    narrowed by that column, and split only if it is still hot.
+    """
+    cols = rows.columns
+    sizes, n = hot_sizes(probe, hot_rows, share)
+    if n and deeper is not None:
+        narrow = F.when(F.col("_n").isNotNull(), F.xxhash64("key", deeper)).otherwise(F.col("key"))
+        rows, probe = (_marked(x, sizes, n).withColumn("key", narrow).select(*cols) for x in (rows, probe))
+        sizes, n = hot_sizes(probe, hot_rows, share)
+    if not n:
+        return rows.withColumn("side", F.lit(2).cast("int"))
+    all_ = _marked(rows, sizes, n).withColumn("_g", F.coalesce(F.ceil(F.col("_n") / block), F.lit(1)).cast("int"))
+    all_ = all_.withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_g")).cast("int"))
+    all_ = all_.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
     low, high = F.least("_own", "_other"), F.greatest("_own", "_other")
     side = F.when(F.col("_own") == F.col("_other"), 2).when(F.col("_own") < F.col("_other"), 0).otherwise(1)
-    warm = warm.withColumn("side", side.cast("int")).withColumn("key", F.xxhash64("key", low, high))
-    return plain.filter(~is_hot).unionByName(warm.select(*plain.columns))
+    key = F.when(F.col("_n").isNull(), F.col("key")).otherwise(F.xxhash64("key", low, high))
+    return all_.withColumn("side", side.cast("int")).withColumn("key", key).select(*cols, "side")
 
 
 def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -77,33 +111,51 @@ def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(kept)
 
 
-def lags(b: Batch, near: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs ``(i, j)`` of one run, by growing distance in the sorted order.
+def lags(b: Batch, near: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, group: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs ``(i, j)`` of one run, or of one ``group`` within a run, by growing distance in the sorted order.
 
     ``near(i, j)`` ends the walk of a row: once false for ``j`` it must be false for all later.
+    Pairs of several distances come together, about ``CHUNK`` at a time.
     """
-    n, k = len(b.key), 1
+    key = b.key if group is None else group
+    n, k, held = len(key), 1, 0
     i = np.arange(n - 1)
+    first, second = [], []
     while len(i):
         i = i[i + k < n]
-        i = i[b.key[i + k] == b.key[i]]
+        i = i[key[i + k] == key[i]]
         if near is not None and len(i):
             i = i[near(i, i + k)]
-        if not len(i):
-            return
-        both = (b.side[i] == 2) | (b.side[i] != b.side[i + k])
-        yield i[both], i[both] + k
+        both = i[(b.side[i] == 2) | (b.side[i] != b.side[i + k])]
+        if len(both):
+            first.append(both)
+            second.append(both + k)
+            held += len(both)
+        if held >= CHUNK or (held and not len(i)):
+            yield np.concatenate(first), np.concatenate(second)
+            first, second, held = [], [], 0
         k += 1
-
-
-def pairs_in_runs(rows: DataFrame, test: Callable[[Batch], Iterator[tuple[np.ndarray, np.ndarray]]], order: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    if held:
+        yield np.concatenate(first), np.concatenate(second)
+
+
+def pairs_in_runs(
+    records: DataFrame,
+    place: Callable[[DataFrame], DataFrame],
+    test: Callable[[Batch], Iterator[tuple[np.ndarray, np.ndarray]]],
+    order: str | None = None,
+    deeper: Column | None = None,
+    hot_rows: int = HOT_ROWS,
+    share: int = PROBE,
+) -> DataFrame:
     """Distinct ``(id_a, id_b)``, smaller first, of rows with one ``key`` that pass ``test``.
 
-    ``rows(key long, id long, payload array<int|tinyint>[, order])``; ``test`` gets a batch of
-    whole runs and yields arrays of passing indexes.
+    ``place(records)`` gives rows ``(key long, id long, ...)``, any number for each record;
+    ``test`` gets a batch of whole runs, sorted by ``order``, and yields arrays of passing indexes.
     """
-    cols = ["key", "id", "payload", *([order] if order else [])]
-    spread = split_hot(rows.select(*cols), hot_rows).repartition("key").sortWithinPartitions("key", *([order] if order else []))
+    probe = place(records.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(share)) == 0))
+    spread = split_hot(place(records), probe, hot_rows, deeper=deeper, share=share)
+    spread = spread.repartition("key").sortWithinPartitions("key", *([order] if order else []))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_runs(batches):

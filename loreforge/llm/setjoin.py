@@ -1,12 +1,21 @@
 """All similar pairs between set-valued records, by forests of sorted minhash sketches.
 
-Each of many trees orders the records by its own minhash signature; records with a long
-common prefix are neighbours there. Two sets of similarity ``s`` share a prefix of depth
-``d`` in one tree with probability ``s**d``, so ``t`` trees find the pair with probability
-``1 - (1 - s**d)**t``. ``plan`` deepens the prefix with the number of records (deeper
-neighbourhoods stay small) and plants as many trees as the target recall then needs at
-the threshold itself; pairs above it are found more surely. Every neighbour is verified
-exactly. Equal sets are one record until the end.
+Each of many independent trees orders the records lexicographically by its own minhash
+signature, so that records with a long common prefix are neighbours. Two sets of similarity
+``s`` share a prefix of ``d`` slots in one tree with probability ``s**d``, and in one of
+``t`` trees with ``1 - (1 - s**d)**t``. ``plan`` takes the depth from the number of records
+and plants as many trees as the target recall needs at that depth and at the threshold.
+
+A neighbourhood starts at a shorter prefix (``BASE`` slots less) and is deepened slot by
+slot while it is large, but never beyond the planned depth, where the target recall still
+holds: small neighbourhoods are compared at the short prefix, which finds more. Neighbours
+are verified exactly inside their neighbourhood, and only pairs that pass leave it. Equal
+sets are one record until the end.
+
+Layout: a tree's rows are hashed by their short prefix and sorted by the rest of the
+signature within a task, which keeps every neighbourhood in one place as one sorted stretch.
+A prefix with very many rows is deepened before the shuffle already, and what is large even
+then is split into pairs of blocks (see ``runs``).
 """
 
 from __future__ import annotations
@@ -22,17 +31,39 @@ from pyspark.sql import functions as F
 from loreforge.llm import minhash, runs
 
 RECALL = 0.998
+BASE = 2  # slots below the planned depth at which a neighbourhood starts
+SMALL = 32  # a neighbourhood with at most so many rows is not deepened
+SLOT = 20  # bits of a slot in the sort key; slots equal in these only are compared in vain
 WIDE = 48  # sets with more members are compared one pair at a time
 
 
 def plan(records: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
     """``(depth, trees)`` for so many distinct sets."""
-    depth = max(2, round(math.log2(max(records, 2)) / 3))
+    depth = max(2, round(math.log2(max(records, 2)) / 5))
     trees = math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth)) if threshold < 1 else 1
     return depth, trees
 
 
-def _verify(threshold: float):
+def neighbourhoods(key: np.ndarray, rest: np.ndarray, levels: int, small: int = SMALL) -> np.ndarray:
+    """The neighbourhood of each row of a sorted stretch, by number.
+
+    Rows with one ``key`` are one neighbourhood; where it has more than ``small`` rows it is
+    deepened by the next slot of ``rest``, and so on, at most ``levels`` times.
+    """
+    n = len(key)
+    edge = np.ones(n, bool)
+    edge[1:] = key[1:] != key[:-1]
+    for level in range(1, levels + 1):
+        group = np.cumsum(edge) - 1
+        large = np.bincount(group)[group] > small
+        if not large.any():
+            break
+        slot = rest >> np.int64(SLOT * (levels - level))
+        edge[1:] |= large[1:] & (slot[1:] != slot[:-1])
+    return np.cumsum(edge) - 1
+
+
+def _verify(threshold: float, levels: int):
     def test(b: runs.Batch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         n = np.diff(b.offsets)
         width = int(min(WIDE, n.max(initial=1)))
@@ -47,13 +78,15 @@ def _verify(threshold: float):
                 sets[r] = frozenset(b.values[b.offsets[r] : b.offsets[r + 1]].tolist())
             return sets[r]
 
-        for i, j in runs.lags(b):
+        for i, j in runs.lags(b, group=neighbourhoods(b.key, b.column("rest"), levels)):
             for c in range(0, len(i), 50_000):
                 p, q = i[c : c + 50_000], j[c : c + 50_000]
                 some = np.minimum(n[p], n[q]) >= threshold * np.maximum(n[p], n[q]) - 1e-9
                 p, q = p[some], q[some]
                 wide = np.maximum(n[p], n[q]) > WIDE
-                same = (left[p][:, :, None] == right[q][:, None, :]).sum((1, 2))
+                same = np.zeros(len(p), np.int64)
+                for k in range(width):
+                    same += (left[p, k][:, None] == right[q]).any(1)
                 for k in np.flatnonzero(wide):
                     same[k] = len(whole(p[k]) & whole(q[k]))
                 ok = same >= threshold * (n[p] + n[q] - same) - 1e-9
@@ -80,8 +113,9 @@ def classes(sets: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]:
 def similar_pairs(reps: DataFrame, threshold: float, recall: float = RECALL) -> DataFrame:
     """``(id_a, id_b, similarity)`` of distinct sets ``reps(id, items array<string>)`` with Jaccard similarity >= threshold."""
     depth, trees = plan(reps.count(), threshold, recall)
+    base = max(1, depth - BASE)
+    levels = depth - base
     a, b = minhash.seeds(depth * trees)
-    hashed = reps.select("id", F.transform("items", lambda t: F.xxhash64(t)).alias("h"))
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,11 +128,17 @@ def similar_pairs(reps: DataFrame, threshold: float, recall: float = RECALL) ->
                 sig = minhash.signatures(vals, off, a, b)
                 payload = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array((vals >> 13).astype(np.int32)))
                 for t in range(trees):
-                    key = minhash.mix(sig[:, t * depth : (t + 1) * depth], t)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), part.column("id"), payload], ["key", "id", "payload"])
+                    own = sig[:, t * depth : (t + 1) * depth]
+                    rest = np.zeros(len(own), np.int64)
+                    for k in range(base, depth):
+                        rest = (rest << np.int64(SLOT)) | (own[:, k] >> np.uint32(32 - SLOT)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(minhash.mix(own[:, :base], t)), pa.array(rest), part.column("id"), payload], ["key", "rest", "id", "payload"])
+
+    def place(records: DataFrame) -> DataFrame:
+        hashed = records.select("id", F.transform("items", lambda t: F.xxhash64(t)).alias("h"))
+        return hashed.mapInArrow(plant, "key long, rest long, id long, payload array<int>")
 
-    rows = hashed.mapInArrow(plant, "key long, id long, payload array<int>")
-    near = runs.pairs_in_runs(rows, _verify(threshold))
+    near = runs.pairs_in_runs(reps, place, _verify(threshold, levels), order="rest", deeper=F.col("rest") if levels else None)
     x, y = reps.select(F.col("id").alias("id_a"), F.col("items").alias("x")), reps.select(F.col("id").alias("id_b"), F.col("items").alias("y"))
     both = near.join(x, "id_a").join(y, "id_b").withColumn("n", F.size(F.array_intersect("x", "y")))
     sim = F.col("n") / (F.size("x") + F.size("y") - F.col("n"))

@@ -52,7 +52,7 @@ def usable(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.select("id", "v").filter(F.col("id").isNotNull() & good & some).groupBy("id").agg(F.min("v").alias("v"))
 
 
-def _window_test(dim: int, floor: float, lines: np.ndarray):
+def _window_test(dim: int, floor: float, lines: np.ndarray, most: int | None):
     """Collision counting inside cells; rows come sorted by their first projection."""
     radius = math.sqrt(2 - 2 * floor)
     widths = [2.2 * radius / 2 ** (LEVELS - 1 - r) for r in range(LEVELS)]  # on a line, a pair at the radius differs by about N(0, radius)
@@ -63,10 +63,10 @@ def _window_test(dim: int, floor: float, lines: np.ndarray):
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
         on = v @ lines
         first = on[:, 0]
-        enough = np.zeros(len(v), np.int32)
+        enough = np.zeros(len(v), np.int64)
         for level, w in enumerate(widths):
             bound = 1 - (radius / 2 ** (LEVELS - 1 - level)) ** 2 / 2
-            done = enough >= ENOUGH if level else np.zeros(len(v), bool)
+            done = enough >= most if most is not None else np.zeros(len(v), bool)
             enough[:] = np.where(done, enough, 0)
             for i, j in runs.lags(b, lambda i, j, w=w: np.abs(first[j] - first[i]) <= w + 1e-6):
                 open_ = ~(done[i] & done[j])
@@ -85,19 +85,20 @@ def _window_test(dim: int, floor: float, lines: np.ndarray):
     return test
 
 
-ENOUGH = 12  # a query stops widening once so many vectors lie inside its radius (more than any k asked here)
-
-
 def _representatives(good: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(members(class_id, id), reps(id, v))``; equal vectors are one class, named by its smallest id."""
-    keyed = good.withColumn("_k", F.xxhash64("v"))
+    """``(members(class_id, id), reps(id, v))``; equal vectors (by a hash of 128 bits) are one class, named by its smallest id."""
+    keyed = good.withColumn("_k", F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b")))
     names = keyed.groupBy("_k").agg(F.min("id").alias("class_id"))
     members = hot_key_join(keyed.select("id", "_k"), names, "_k").select("class_id", "id")
     return members, good.join(members.filter(F.col("id") == F.col("class_id")).select("id"), "id", "left_semi")
 
 
-def close_pairs(reps: DataFrame, dim: int, floor: float, recall: float = RECALL) -> DataFrame:
-    """``(id_a, id_b, cosine)`` of distinct vectors with cosine >= floor."""
+def close_pairs(reps: DataFrame, dim: int, floor: float, recall: float = RECALL, enough: int | None = None) -> DataFrame:
+    """``(id_a, id_b, cosine)`` of distinct vectors with cosine >= floor.
+
+    With ``enough``, a vector's windows are widened only until they hold so many vectors
+    inside the radius searched; without it, up to the floor.
+    """
     bits, tables = plan(reps.count(), floor, recall)
     rng = np.random.default_rng(7)
     cuts = rng.standard_normal((dim, bits * tables)).astype(np.float32)
@@ -121,8 +122,8 @@ def close_pairs(reps: DataFrame, dim: int, floor: float, recall: float = RECALL)
                 cell = ((v @ cuts[:, t * bits : (t + 1) * bits]) > 0) @ weights + (np.int64(t) << np.int64(40))
                 yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column("id"), payload, order], ["key", "id", "payload", "at"])
 
-    rows = reps.mapInArrow(place, "key long, id long, payload array<tinyint>, at float")
-    near = runs.pairs_in_runs(rows, _window_test(dim, floor, lines), order="at")
+    schema = "key long, id long, payload array<tinyint>, at float"
+    near = runs.pairs_in_runs(reps, lambda r: r.mapInArrow(place, schema), _window_test(dim, floor, lines, enough), order="at")
     x, y = reps.select(F.col("id").alias("id_a"), F.col("v").alias("x")), reps.select(F.col("id").alias("id_b"), F.col("v").alias("y"))
     return near.join(x, "id_a").join(y, "id_b").select("id_a", "id_b", cosine("x", "y").alias("cosine")).filter(F.col("cosine") >= floor)
 
@@ -142,7 +143,7 @@ def top_close(vectors: DataFrame, dim: int = 64, k: int = 5, floor: float = 0.9,
     good = table(usable(vectors, dim), "vectors")
     members, reps = _representatives(good)
     members, reps = table(members, "members"), table(reps, "reps")
-    near = close_pairs(reps, dim, floor, recall)
+    near = close_pairs(reps, dim, floor, recall, enough=2 * (k + 1))
     ways = near.select(F.col("id_a").alias("class_id"), F.col("id_b").alias("other"), "cosine").unionByName(
         near.select(F.col("id_b").alias("class_id"), F.col("id_a").alias("other"), "cosine")
     )
