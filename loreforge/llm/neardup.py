@@ -5,13 +5,14 @@ the share of equal slots of two texts estimates their similarity. The fingerprin
 into ``blocks`` blocks of ``slots`` slots each. Pigeonhole: two fingerprints that differ in
 fewer than ``blocks`` slots must agree on a whole block; further apart, they still do with
 probability ``1 - (1 - s**slots)**blocks``. Texts meet when a block is equal, are verified
-by the Hamming distance of a packed part of the fingerprint, and then exactly. Texts with
-equal shingle sets are one record until the end.
+by the Hamming distance of fingerprints packed to two bits a slot, and then exactly. Texts
+with equal shingle sets (by a hash of 128 bits) are one record until the end.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loreforge.llm import minhash, runs
+from loreforge.llm.words import Hashes
 from loreforge.operators.joins import hot_key_join
 from loreforge.session import table
 
 RECALL = 0.998
-PACKED = 64  # slots of 8 bits that travel with each row for the Hamming test
+FLUSH = 200_000  # shingles that leave a task at once
+_WORD = re.compile(r"[^\W_]+")
 
 
 def words(text: Column) -> Column:
@@ -34,67 +37,100 @@ def words(text: Column) -> Column:
 
 def plan(records: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
     """``(blocks, slots)``: more slots for more records, as many blocks as the recall needs at the threshold."""
-    slots = 3 if records < 3_000_000 else 4 if records < 100_000_000 else 5
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**slots)), slots
+    slots = max(2, round(math.log2(max(records, 2)) / 6))
+    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**slots)) if threshold < 1 else 1, slots
 
 
 def shingles(texts: DataFrame, size: int, least_words: int) -> DataFrame:
-    """``(id, shingles array<long>)``: distinct sorted hashes of ``size`` consecutive words of ``texts(id, text)``.
+    """``(id, k1, k2, shingles array<long>)``: distinct sorted hashes of ``size`` consecutive words of ``texts(id, text)``.
 
-    Texts with fewer than ``least_words`` words (null and empty ones too) take no part.
+    ``k1`` and ``k2`` are two hashes of the whole set. Texts with fewer than ``least_words``
+    words (null and empty ones too) take no part. Output leaves in slices of bounded size,
+    however long the texts are.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         mult = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF) for k in range(size)]
+        of = Hashes().__getitem__
+        ids, sets, held = [], [], 0
+
+        def rows() -> pa.RecordBatch:
+            at = np.concatenate([[0], np.cumsum([len(p) for p in sets])]).astype(np.int32)
+            keys = [pa.array([xxhash.xxh64_intdigest(p.tobytes(), seed) for p in sets], pa.uint64()).view(pa.int64()) for seed in (0, 1)]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *keys, pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets)))], ["id", "k1", "k2", "shingles"])
+
         for b in batches:
-            ids, parts = [], []
-            lists = b.column("h")
-            off, vals = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            for r, i in enumerate(b.column("id").to_pylist()):
-                w = vals[off[r] : off[r + 1]]
+            for i, text in zip(b.column("id").to_pylist(), b.column("text")):
+                found = _WORD.findall(text.as_py().lower())
+                if len(found) < max(least_words, size):
+                    continue
+                w = np.fromiter(map(of, found), np.uint64, len(found))
                 n = len(w) - size + 1
                 h = np.zeros(n, np.uint64)
                 for k in range(size):
                     h = (h ^ (h >> np.uint64(29))) + w[k : k + n] * mult[k]
                 ids.append(i)
-                parts.append(np.unique(h ^ (h >> np.uint64(32))).view(np.int64))
-            if ids:
-                at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts)))], ["id", "shingles"])
+                sets.append(np.unique(h ^ (h >> np.uint64(32))).view(np.int64))
+                held += n
+                if held >= FLUSH:
+                    yield rows()
+                    ids, sets, held = [], [], 0
+        if ids:
+            yield rows()
 
-    hashed = texts.filter(F.col("id").isNotNull()).select("id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-    return hashed.filter(F.size("h") >= max(least_words, size)).mapInArrow(work, "id long, shingles array<long>")
+    some = texts.filter(F.col("id").isNotNull() & (F.length("text") > 0)).select("id", "text")
+    return some.mapInArrow(work, "id long, k1 long, k2 long, shingles array<long>")
 
 
 def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(members(class_id, id), reps(id, shingles))``; texts with equal shingle sets are one class, named by its smallest id."""
-    keyed = sets.withColumn("_k", F.xxhash64("shingles"))
-    slim = keyed.select("id", "_k").dropDuplicates(["id"])
-    reps = slim.groupBy("_k").agg(F.min("id").alias("class_id"))
-    members = hot_key_join(slim, reps, "_k").select("class_id", "id")
-    firsts = members.filter(F.col("id") == F.col("class_id")).select("id")
-    return members, sets.join(firsts, "id", "left_semi").dropDuplicates(["id"])
+    """``(members(class_id, id), reps(id, shingles))``; texts with equal shingle sets are one class, named by its smallest id.
+
+    Only ids and hashes are shuffled for it. ``reps`` is picked from ``sets`` when read.
+    """
+    slim = sets.groupBy("id").agg(F.min(F.struct("k1", "k2")).alias("k")).select("id", "k.k1", "k.k2")
+    named = slim.groupBy("k1", "k2").agg(F.min("id").alias("class_id"))
+    members = table(hot_key_join(slim.withColumn("k", F.struct("k1", "k2")), named.select(F.struct("k1", "k2").alias("k"), "class_id"), "k").select("class_id", "id", "k1", "k2"), "members")
+    firsts = members.filter(F.col("id") == F.col("class_id")).select("id", "k1", "k2")
+    return members.select("class_id", "id"), sets.join(firsts, ["id", "k1", "k2"], "left_semi").select("id", "shingles")
+
+
+def _width(threshold: float) -> int:
+    """64-bit words of a packed fingerprint, 32 slots each."""
+    return 4 if threshold < 0.7 else 2
 
 
 def _hamming(threshold: float):
-    spread = math.sqrt(PACKED * threshold * (1 - threshold)) if threshold < 1 else 0
-    least = math.floor(PACKED * threshold - 4.5 * spread)  # equal slots; farther pairs are below the threshold
+    width = _width(threshold)
+    n, p = 32 * width, threshold + (1 - threshold) / 4  # unequal slots agree in two bits by chance
+    least = math.floor(n * p - 4.5 * math.sqrt(n * p * (1 - p)))  # equal slots; farther pairs are below the threshold
+    odd, one = np.uint64(0x5555555555555555), np.uint64(1)
 
     def test(b: runs.Batch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        m = np.ascontiguousarray(b.matrix(PACKED // 4)).astype("<i4").view(np.uint8)
+        f = [b.column(f"f{k}").view(np.uint64) for k in range(width)]
         for i, j in runs.lags(b):
             for c in range(0, len(i), 100_000):
                 p, q = i[c : c + 100_000], j[c : c + 100_000]
-                ok = (m[p] == m[q]).sum(1) >= least
+                differ = np.zeros(len(p), np.int64)
+                for x in f:
+                    d = x[p] ^ x[q]
+                    differ += np.bitwise_count((d | (d >> one)) & odd)
+                ok = n - differ >= least
                 yield p[ok], q[ok]
 
     return test
 
 
-def near_pairs(reps: DataFrame, threshold: float, recall: float = RECALL) -> DataFrame:
-    """``(id_a, id_b, similarity)`` of distinct shingle sets ``reps(id, shingles)`` with Jaccard similarity >= threshold."""
-    blocks, slots = plan(reps.count(), threshold, recall)
-    a, b = minhash.seeds(max(blocks * slots, PACKED), seed=4)
+def near_pairs(reps: DataFrame, threshold: float, recall: float = RECALL, records: int | None = None) -> DataFrame:
+    """``(id_a, id_b, similarity)`` of distinct shingle sets ``reps(id, shingles)`` with Jaccard similarity >= threshold.
+
+    Keys, ids and packed fingerprints are shuffled; shingles only of the pairs that pass the Hamming test.
+    """
+    blocks, slots = plan(reps.count() if records is None else records, threshold, recall)
+    width = _width(threshold)
+    a, b = minhash.seeds(max(blocks * slots, 32 * width), seed=4)
+    shift = (2 * np.arange(32)).astype(np.uint64)
 
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,20 +139,22 @@ def near_pairs(reps: DataFrame, threshold: float, recall: float = RECALL) -> Dat
                 lists = part.column("shingles")
                 off = lists.offsets.to_numpy()
                 vals = lists.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]]
-                sig = minhash.signatures(vals, off - off[0], a, b)
-                packed = np.ascontiguousarray(sig[:, :PACKED].astype(np.uint8)).view("<i4")
-                at = pa.array(np.arange(len(sig) + 1, dtype=np.int32) * (PACKED // 4))
-                payload = pa.ListArray.from_arrays(at, pa.array(packed.ravel()))
+                sig = minhash.signatures(vals, off - off[0], a, b, 50_000)
+                low = (sig[:, : 32 * width] & np.uint32(3)).astype(np.uint64).reshape(len(sig), width, 32)
+                packed = np.bitwise_or.reduce(low << shift, axis=2).view(np.int64)
+                prints = [pa.array(packed[:, k]) for k in range(width)]
                 for k in range(blocks):
                     key = minhash.mix(sig[:, k * slots : (k + 1) * slots], k)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), part.column("id"), payload], ["key", "id", "payload"])
-
-    rows = reps.mapInArrow(fingerprint, "key long, id long, payload array<int>")
-    near = runs.pairs_in_runs(rows, _hamming(threshold))
-    x, y = reps.select(F.col("id").alias("id_a"), F.col("shingles").alias("x")), reps.select(F.col("id").alias("id_b"), F.col("shingles").alias("y"))
-    both = near.join(x, "id_a").join(y, "id_b").withColumn("n", F.size(F.array_intersect("x", "y")))
+                    yield pa.RecordBatch.from_arrays([pa.array(key), part.column("id"), *prints], ["key", "id", *(f"f{x}" for x in range(width))])
+
+    schema = "key long, id long, " + ", ".join(f"f{k} long" for k in range(width))
+    near = table(runs.pairs_in_runs(reps, lambda r: r.mapInArrow(fingerprint, schema), _hamming(threshold)), "near")
+    sides = near.select("id_a", "id_b", F.lit(0).alias("s"), F.col("id_a").alias("id")).unionByName(near.select("id_a", "id_b", F.lit(1).alias("s"), F.col("id_b").alias("id")))
+    own = reps.join(sides, "id").groupBy("id_a", "id_b")
+    both = own.agg(*[F.first(F.when(F.col("s") == k, F.col("shingles")), ignorenulls=True).alias(c) for k, c in ((0, "x"), (1, "y"))])
+    n = F.size(F.array_intersect("x", "y"))
     sim = F.col("n") / (F.size("x") + F.size("y") - F.col("n"))
-    return both.withColumn("similarity", sim).filter(F.col("similarity") >= threshold - 1e-9).select("id_a", "id_b", "similarity")
+    return both.withColumn("n", n).withColumn("similarity", sim).filter(F.col("similarity") >= threshold - 1e-9).select("id_a", "id_b", "similarity")
 
 
 def near_duplicates(texts: DataFrame, size: int = 5, threshold: float = 0.8, least_words: int = 10, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
@@ -127,7 +165,7 @@ def near_duplicates(texts: DataFrame, size: int = 5, threshold: float = 0.8, lea
     """
     sets = table(shingles(texts.select("id", "text"), size, least_words), "shingles")
     members, reps = classes(sets)
-    return members, near_pairs(table(reps, "reps"), threshold, recall)
+    return members, near_pairs(reps, threshold, recall, members.filter(F.col("id") == F.col("class_id")).count())
 
 
 def with_short(texts: DataFrame, members: DataFrame, size: int) -> DataFrame:
