@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 MOST_COMMAND, MOST_KEY, LEAST_FAILURES = 400, 120, 2
 
@@ -26,69 +22,51 @@ UNDO = (
 WRAPPERS = frozenset(("sudo", "command", "env", "time", "nohup"))
 COPIERS = frozenset(("cp", "mv", "rsync", "install"))
 
-_COMPILED = tuple((label, p and re.compile(p), meaning) for label, p, meaning in UNDO)
-_HEREDOC = re.compile(r"<<-?\s*[\"']?(?P<end>\w+)[\"']?")
-_CUT = re.compile(r"&&|\|\||[;|&\n]")
-_SET = re.compile(r"\w+=")
-_INNER = re.compile(r"\$\([^)]*\)|`[^`]*`")
-_BACKUP = re.compile(r"\.(?:bak|backup|orig)\b")
-_TEMP = re.compile(r"(?:/private)?/tmp/|/var/folders/")
-
-
-def shell_text(command: str) -> str:
-    """A command without the body of its first here-document."""
-    opening = _HEREDOC.search(command)
-    if opening is None:
-        return command
-    body = command[opening.end() :]
-    closing = re.search(rf"(?m)^{re.escape(opening['end'])}\s*$", body)
-    return command[: opening.end()] + (body[closing.end() :] if closing else "")
-
-
-def _unwrapped(segment: str, wrappers: frozenset[str], keep: int) -> str:
-    """A segment after leading assignments and wrappers, at least ``keep`` words of it."""
-    rest = segment.strip()
-    while True:
-        word, _, more = rest.replace("\t", " ").partition(" ")
-        if (_SET.match(word) or word in wrappers) and (more.strip() or not keep):
-            rest = more.strip()
-        else:
-            return rest
-
-
-def _restores_backup(text: str) -> bool:
-    """Whether a copy takes a backup as its source and puts it where work is kept."""
-    for segment in _CUT.split(_INNER.sub("", text)):
-        words = _unwrapped(segment, frozenset(("sudo", "command", "env")), 0).split()
-        if not words or words[0].rsplit("/", 1)[-1] not in COPIERS:
-            continue
-        paths = [w for w in words[1:] if w[0] != "-"]
-        if len(paths) > 1 and any(map(_BACKUP.search, paths[:-1])) and not _TEMP.match(paths[-1].strip("\"'")):
-            return True
-    return False
-
-
-def undo_label(command: str | None) -> str | None:
-    """The label of the undo that a command runs, None for any other command."""
-    if not command:
-        return None
-    text = shell_text(command[:MOST_COMMAND])
-    heads = [_unwrapped(s, WRAPPERS, 1) for s in _CUT.split(text)]
-    for label, pattern, _ in _COMPILED:
-        if _restores_backup(text) if pattern is None else any(map(pattern.match, heads)):
-            return label
-    return None
-
-
-@F.pandas_udf(StringType())
-def _undo_labels(commands: pd.Series) -> pd.Series:
-    return commands.map(undo_label)
+# A here-document from the start of the text: what opens it, then its body up to the line that ends it.
+HERE_DOCUMENT = r"""(?sm)\A(.*?<<-?\s*["']?(\w+)["']?).*?(?:^\2\s*$|\z)"""
+SEPARATORS = r"&&|\|\||[;|&\n]"
+SUBSTITUTION = r"\$\([^)]*\)|`[^`]*`"
+KEPT_NOWHERE = r"""["']*(?:(?:/private)?/tmp/|/var/folders/)"""
+
+
+def _led_by(words: frozenset[str], to: str) -> str:
+    """A pattern of the assignments and ``words`` that lead a command, as far as ``to`` follows."""
+    return rf"^\s*(?:(?:\w+=\S*|{'|'.join(sorted(words))})\s+(?={to}))*"
+
+
+def run_commands(text: Column, led_by: frozenset[str] = WRAPPERS) -> Column:
+    """The commands that a shell text runs, in order, without what leads each of them.
+
+    The body of the first here-document is data and runs nothing.
+    """
+    shell = F.regexp_replace(text, HERE_DOCUMENT, "$1")
+    return F.transform(F.split(shell, SEPARATORS), lambda c: F.regexp_replace(c, _led_by(led_by, r"\S"), ""))
+
+
+def takes_backup_back(command: Column) -> Column:
+    """Whether a single command copies from a backup to where work is kept.
+
+    After its options are gone, a copier is followed by sources, one of which has the name of
+    a backup, and by one destination; a backup that is the destination is only being made.
+    """
+    shape = rf"^(?:\S*/)?(?:{'|'.join(sorted(COPIERS))})\s+(?:\S+\s+)*?\S*\.(?:bak|backup|orig)\b\S*\s+(?:\S+\s+)*(?!{KEPT_NOWHERE})\S+\s*$"
+    return F.regexp_replace(command, r"\s-\S*", "").rlike(shape)
+
+
+def _begins(pattern: str):
+    return lambda command: command.rlike(f"^(?:{pattern})")
 
 
 def undo(command: Column) -> Column:
-    """``undo_label`` as a column; commands without any word of the patterns stay in the JVM."""
-    maybe = command.rlike(r"git|\.(bak|backup|orig)")
-    return F.when(maybe, _undo_labels(F.when(maybe, command)))
+    """The label of the undo that a command runs, null for any other command; all in the JVM."""
+    text = F.substring(command, 1, MOST_COMMAND)
+    ran = run_commands(text)
+    copied = run_commands(F.regexp_replace(text, SUBSTITUTION, ""), frozenset(("sudo", "command", "env")))
+    label = F.lit(None).cast("string")
+    for name, pattern, _ in reversed(UNDO):
+        found = F.exists(copied, takes_backup_back) if pattern is None else F.exists(ran, _begins(pattern))
+        label = F.when(found, name).otherwise(label)
+    return F.when(command.rlike(r"git|\.(bak|backup|orig)"), label)  # most commands have none of the words
 
 
 def undo_meaning(label: Column) -> Column:
@@ -100,7 +78,8 @@ def undo_meaning(label: Column) -> Column:
 
 def command_key(command: Column) -> Column:
     """White space as single blanks, cut to 120 characters: what makes two commands the same."""
-    return F.substring(F.regexp_replace(F.trim(F.substring(command, 1, MOST_COMMAND)), r"\s+", " "), 1, MOST_KEY)
+    cut = F.regexp_replace(F.substring(command, 1, MOST_COMMAND), r"^\s+|\s+$", "")
+    return F.substring(F.regexp_replace(cut, r"\s+", " "), 1, MOST_KEY)
 
 
 def repeated_failures(events: DataFrame, session: str, key: str, at: str, tie: str, failed: Column) -> DataFrame:

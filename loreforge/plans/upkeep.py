@@ -209,6 +209,36 @@ QUERIES = {
     )
 } | {"f3_tags": p3_tags}
 
+def _labels() -> str:
+    """The label of the undo that the heads of commands (``ran``, ``copied``) tell, as SQL."""
+    whens = []
+    for name, pattern, _ in events.UNDO:
+        if pattern:
+            whens.append(f"WHEN len(list_filter(ran, lambda c: regexp_matches(c, '^(?:{pattern})'))) > 0 THEN '{name}'")
+        else:
+            words = r"list_filter(regexp_split_to_array(trim(c), '\s+'), lambda w: NOT starts_with(w, '-'))"
+            back = r"""len(w) >= 3 AND regexp_matches(w[1], '^(?:\S*/)?(?:cp|mv|rsync|install)$') AND NOT regexp_matches(w[len(w)], '^["'']*(?:(?:/private)?/tmp/|/var/folders/)')
+    AND len(list_filter(w[2:len(w) - 1], lambda x: regexp_matches(x, '\.(bak|backup|orig)\b'))) > 0"""
+            whens.append(f"WHEN len(list_filter(list_transform(copied, lambda c: {words}), lambda w: {back})) > 0 THEN '{name}'")
+    return "CASE " + "\n  ".join(whens) + " END"
+
+
+def _heads(text: str, leading: str) -> str:
+    return rf"list_transform(regexp_split_to_array(regexp_replace({text}, '(<<-?\s*[\x22'']?\w+[\x22'']?).*$', '\1'), '&&|\|\||[;|&\n]'), lambda c: regexp_replace(c, '^\s*(?:(?:\w+=\S*|{leading})\s+)*(\S)', '\1'))"
+
+
+_MEANING = "CASE label " + " ".join(f"WHEN '{n}' THEN '{m}'" for n, _, m in events.UNDO) + " END"
+_INCIDENTS = rf"""WITH line AS (
+  SELECT doc_id::VARCHAR AS session_id, created_at AS ts, unnest(l) AS line, generate_subscripts(l, 1) AS seq FROM (SELECT doc_id, created_at, regexp_split_to_array("text", '\r?\n') AS l FROM documents)),
+cmds AS (SELECT * FROM (SELECT session_id, ts, seq, substr(regexp_replace(line, '^\s*(- )?\$ ', ''), 1, 400) AS cmd FROM line WHERE regexp_matches(line, '^\s*(- )?\$ ')) WHERE cmd <> ''),
+keyed AS (SELECT *, substr(regexp_replace(regexp_replace(cmd, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'), 1, 120) AS key FROM cmds),
+again AS (SELECT *, count(*) OVER (PARTITION BY session_id, key ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS count FROM keyed),
+heads AS (SELECT *, {_heads("cmd", "command|env|nohup|sudo|time")} AS ran, {_heads(r"regexp_replace(cmd, '\$\([^)]*\)|`[^`]*`', '', 'g')", "command|env|sudo")} AS copied FROM cmds),
+labelled AS (SELECT session_id, ts, cmd, {_labels()} AS label FROM heads),
+inc AS (
+  SELECT session_id, ts, 'retry' AS kind, NULL::VARCHAR AS label, NULL::VARCHAR AS meaning, key AS cmd, count FROM again WHERE count >= 2
+  UNION ALL SELECT session_id, ts, 'revert', label, {_MEANING}, cmd, NULL FROM labelled WHERE label IS NOT NULL)
+"""
 _P = PAS.split(",\nlive")[0]
 _FAIL = """SELECT session_id, key, "at", count FROM (
   SELECT user_id::VARCHAR AS session_id, json_extract_string(props, '$.k') AS key, ts AS "at", count(*) OVER (PARTITION BY user_id, json_extract_string(props, '$.k') ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS count
@@ -272,6 +302,10 @@ names AS (SELECT DISTINCT n FROM (SELECT lower(trim(project)) AS n FROM cur UNIO
 parts AS (SELECT n, list_filter(regexp_split_to_array(n, '[^\\p{{L}}\\p{{N}}_]+'), lambda t: length(t) >= 3) AS p FROM names),
 free AS (SELECT lt.* FROM lt WHERE NOT EXISTS (SELECT 1 FROM parts WHERE len(p) > 0 AND list_has_all(ws, p)))
 SELECT id, array_to_string(list_sort(list_filter(ws, lambda w: w IN ({_MARKERS}))), ',') AS matched FROM free WHERE len(list_filter(ws, lambda w: w IN ({_MARKERS}))) >= 2""",
+    "e4_incidents": _INCIDENTS + "SELECT * FROM inc",
+    "e8_incident_digest": _INCIDENTS
+    + """, told AS (SELECT session_id, list(concat_ws(' ', kind, label, substr(cmd, 1, 140)) ORDER BY ts, kind, cmd) AS l FROM inc GROUP BY 1)
+SELECT session_id, len(l) AS n, array_to_string(l[1:6], chr(10)) || CASE WHEN len(l) > 6 THEN chr(10) || '…and ' || (len(l) - 6) || ' more' ELSE '' END AS digest FROM told""",
     "e5_failures": _FAIL,
     "e5_failures_streamed": _FAIL,
     "e6_sessions": """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS cut FROM events),

@@ -97,20 +97,21 @@ def test_incident_journal(spark, tmp_path):
 UNDONE = [
     ("git checkout -- a.py", "git-checkout-file"), ("cd x && git restore .", "git-restore"), ("FOO=1 sudo git reset --hard", "git-reset-hard"), ("git clean -fd", "git-clean"),
     ("git commit -q --amend", "git-amend"), ("git stash drop", "git-stash-drop"), ("cp conf.bak conf", "restore-backup"), ("mv a.orig ./b; ls", "restore-backup"), ("git rebase --abort", "rebase-abort"),
+    ("git checkout HEAD -- a b", "git-checkout-file"), ("git checkout --ours x", "git-checkout-file"), ("make || git revert abc", "git-revert"), ("time nohup env A=1 B=2 git restore x", "git-restore"),
+    ("cat <<EOF | sh\nnothing\nEOF\ngit reset --hard", "git-reset-hard"), ("sudo /bin/cp -a x.backup.1 y z", "restore-backup"), ("cp a.bak 'b'", "restore-backup"), ("git restore x && git clean -f", "git-restore"),
+    ("cp $(ls | head) a.bak b", "restore-backup"), ("install -m 600 conf.orig /etc/conf", "restore-backup"), ("  git   stash   clear", "git-stash-drop"),
 ]
 KEPT = [
     "git status", "echo 'git checkout -- x'", "cp conf conf.bak", "cp conf.json conf.bak-$(date +%s) && ls", "cp /tmp/k.bak /tmp/k.php", "git checkout main", "python - <<'PY'\ngit restore x\nPY", "", None,
+    "cp a.bak", "cp -r a.bak", "cp a.bak '/tmp/x'", "rsync a.bak /private/tmp/x", "xcp a.bak b", "echo git restore", "sudo", "FOO=1", "git clean -n", "python <<X\ngit revert a", "cp a b.orig; ls", "mygit restore x",
+    "x" * 400 + "; git restore y", "legit=1 ls",
 ]
 
 
-@pytest.mark.parametrize("command, label", UNDONE)
-def test_undone(command, label):
-    assert events.undo_label(command) == label
-
-
-@pytest.mark.parametrize("command", KEPT)
-def test_not_undone(command):
-    assert events.undo_label(command) is None
+def test_undone_commands(spark):
+    rows = UNDONE + [(c, None) for c in KEPT]
+    got = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(rows)], "i int, command string").select("i", events.undo(F.col("command")).alias("label"))
+    assert [(rows[i][0], label) for i, label in sorted(map(tuple, got.collect()))] == rows
 
 
 def test_incidents(spark):
