@@ -79,15 +79,29 @@ def test_similar_sets(spark):
     assert setjoin.similar_pairs(empty[1], 0.6).count() == 0
 
 
-def test_hot_groups_are_split_without_losing_pairs(spark):
+def test_hot_groups_are_split_without_losing_pairs(spark, monkeypatch):
     df = spark.range(90).select(F.when(F.col("id") < 60, 1).otherwise(F.col("id") % 4 + 2).cast("long").alias("key"), "id", F.array(F.lit(0)).alias("payload"))
     every = lambda b: runs.lags(b)
     keys = {r["id"]: r["key"] for r in df.collect()}
     want = {(a, b) for a, b in itertools.combinations(sorted(keys), 2) if keys[a] == keys[b]}
-    spread = runs.split_hot(df, hot_rows=20, block=7)
+    spread = runs.split_hot(df, df, hot_rows=20, block=7, share=1)
     assert spread.groupBy("key").count().agg(F.max("count")).first()[0] < 40
-    got = {tuple(r) for r in runs.pairs_in_runs(df, every, hot_rows=20).collect()}
-    assert got == want
+    same = lambda r: r
+    for limit in (20, 2, 1000):
+        assert {tuple(r) for r in runs.pairs_in_runs(df, same, every, hot_rows=limit, share=2).collect()} == want
+    deep = runs.pairs_in_runs(df, same, every, hot_rows=20, share=1, deeper=F.col("id") % 2)
+    assert {tuple(r) for r in deep.collect()} == {(a, b) for a, b in want if keys[a] != 1 or a % 2 == b % 2}
+    monkeypatch.setattr(runs, "LISTED", 0)
+    assert {tuple(r) for r in runs.pairs_in_runs(df, same, every, hot_rows=20, share=1).collect()} == want
+
+
+def test_large_neighbourhoods_are_deepened():
+    key = np.array([1] * 6 + [2] * 3)
+    rest = np.array([0, 0, 1, 1 << 20, 1 << 20, 2 << 20, 0, 5, 9], np.int64)
+    assert setjoin.neighbourhoods(key, rest, 2, small=9).tolist() == [0] * 6 + [1] * 3
+    assert setjoin.neighbourhoods(key, rest, 2, small=3).tolist() == [0, 0, 0, 1, 1, 2, 3, 3, 3]
+    assert setjoin.neighbourhoods(key, rest, 2, small=2).tolist() == [0, 0, 1, 2, 2, 3, 4, 5, 6]
+    assert setjoin.neighbourhoods(key, rest, 0, small=1).tolist() == [0] * 6 + [1] * 3
 
 
 def test_minhash_estimates_similarity():
@@ -299,6 +313,45 @@ def test_leaks(spark):
     assert leak.overlaps(D.limit(0), I).count() == 0 and leak.overlaps(D, I.limit(0)).count() == 0
 
 
+def _leak_truth(docs, items):
+    want = set()
+    for i, p in items:
+        w = leak.words(p)
+        g4, g12 = ({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} for n in (4, 12))
+        for d, t in docs:
+            v = leak.words(t)
+            h4, h12 = ({tuple(v[k : k + n]) for k in range(len(v) - n + 1)} for n in (4, 12))
+            if g12 & h12 or (g4 and len(g4 & h4) >= 0.5 * len(g4)):
+                want.add((d, i))
+    return want
+
+
+def test_leaks_in_short_fragments(spark):
+    """Passages cut into pieces of four and five words, whole or partly, in any order, and passages that repeat themselves."""
+    r = random.Random(14)
+    words = [f"w{i}" for i in range(90)]
+    items = [(i, " ".join(r.choices(words[: 12 if i % 5 == 0 else 90], k=r.choice((5, 12, 17, 40, 60))))) for i in range(30)]
+    docs = []
+    for i, p in items:
+        w = p.split()
+        for size in (4, 5, 6):
+            for kept in (0.3, 0.5, 0.55, 0.97):
+                bits = [w[k : k + size] for k in range(len(w) - size + 1)]
+                bits = r.sample(bits, round(kept * len(bits)))
+                docs.append((len(docs), " ".join(x for b in bits for x in [*b, f"x{r.random()}"])))
+    want = _leak_truth(docs, items)
+    D, I = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(items, "item_id long, passage string")  # noqa: E741
+    assert {tuple(x) for x in leak.leaked(D, I).collect()} == want and 100 < len(want) < len(docs)
+
+
+def test_words_without_marks():
+    text = "Łódź a\u0301b e\u0323\u0302 ﬁne x_y 12³ \u0915\u094d\u0937"
+    import unicodedata
+
+    plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    assert leak.words(text) == leak._WORD.findall(plain.lower())
+
+
 def test_leak_index_in_slices(spark, monkeypatch):
     items = spark.createDataFrame([(i, " ".join(f"p{i}x{k}" for k in range(20))) for i in range(9)], "item_id long, passage string")
     docs = items.select(F.col("item_id").alias("id"), F.concat(F.lit("before "), "passage").alias("text"))
@@ -307,23 +360,33 @@ def test_leak_index_in_slices(spark, monkeypatch):
 
 
 def test_tolerant_overlap():
+    one = lambda n: np.array([n])
     a = np.arange(1, 31, dtype=np.uint64)
+    tol = lambda x, y, diag: leak._tolerant(x, one(0), one(len(x)), y, one(0), one(len(y)), one(diag)).tolist()
     b = a.copy()
     b[[8, 16]] = 99
-    assert leak._tolerant(a, b, 0) == 30
+    assert tol(a, b, 0) == [30] and tol(a, b[5:], 5) == [25] and tol(a[5:], b, -5) == [25] and tol(a, b, 40) == [0]
     b[17] = 98
-    assert leak._tolerant(a, b, 0) == 16
+    assert tol(a, b, 0) == [16]
+    b[0] = 97
+    assert tol(a, b, 0) == [15]
+    x, y = np.concatenate([a, b]), np.concatenate([b, a])
+    assert leak._tolerant(x, np.array([0, 30]), np.array([30, 30]), y, np.array([0, 30]), np.array([30, 30]), np.array([0, 0])).tolist() == [15, 15]
 
 
 # --- 10: repetition ---
 
 
+def _share(text):
+    return repeat.repeated_share(repeat.WORDS.findall(text.lower()))
+
+
 def test_repetition(spark):
     r = random.Random(6)
     say = lambda n: " ".join(r.choice("alpha beta gamma delta pool cache queue row table index mail port file".split()) + str(r.randint(1, 999)) for _ in range(n))
     rows = [(i, say(200)) for i in range(20)] + [(100 + i, f"{say(40)} " * (2 + i % 5)) for i in range(20)] + [(200, None), (201, ""), (202, "spam " * 200_000), (203, "a b c"), (4, "x")]
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "id long, text string, runs int")
-    want = {i for i, t in rows if t and (n := repeat.repeated_share(t))[0] >= 40 and n[1] >= 0.3}
+    want = {i for i, t in rows if t and (n := _share(t))[0] >= 40 and n[1] >= 0.3}
     assert {x["id"] for x in repeat.repetitive(df).collect()} == want and 202 in want
     bands = {x["id"]: x for x in repeat.bands(df, exact=None).collect()}
     assert bands[200]["band"] == "empty" and bands[201]["runs"] == 0 and bands[4]["bytes"] > 1 and bands[202]["band"] == "repetitive"
@@ -335,11 +398,47 @@ def test_repeats_in_texts_that_hardly_compress(spark):
     say = lambda n: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9))) for _ in range(n))
     rows = [(k, f"{(a := say(35 * k))} {say(30 * k)} {a.upper() if k % 2 else a}") for k in (1, 3, 5, 10, 25, 60)]
     df = spark.createDataFrame([*rows, (99, say(400))], "id long, text string")
-    assert all(repeat.repeated_share(t)[1] >= 0.3 for _, t in rows)
-    assert {x["band"] for x in repeat.bands(df).collect()} <= {"plain", "incompressible"}
+    assert all(_share(t)[1] >= 0.3 for _, t in rows)
+    bands = {x["id"]: x["band"] for x in repeat.bands(df).collect()}
+    assert bands.pop(99) in ("plain", "incompressible") and set(bands.values()) == {"repetitive"}
     assert {x["id"] for x in repeat.repetitive(df).collect()} == {k for k, _ in rows}
 
 
+def _repeating(r, n, kind):
+    """About ``n`` random words with many repeated runs of five, in stretches as hard to compress as possible."""
+    new = lambda k: [f"{r.getrandbits(40):x}" for _ in range(k)]
+    w = new(max(10, n // 4))
+    while len(w) < n:
+        if kind == "single":  # runs of five that stand alone
+            k = r.randrange(len(w) - 5)
+            w += w[k : k + 5] + new(1)
+        elif kind == "chained":  # each run of five continues the last one, but comes from another place
+            k = r.randrange(len(w) - 9)
+            a = w[k : k + 5]
+            w += a + new(3) + a[1:] + new(1) + a[2:] + new(1) + a
+        elif kind == "long":
+            k = r.randrange(len(w) // 2)
+            w += w[k : k + n // 5] + new(n // 20)
+        else:  # few different words
+            w += [w[r.randrange(2)] for _ in range(8)] + new(2)
+    return w
+
+
+@pytest.mark.parametrize("kind", ["single", "chained", "long", "few"])
+def test_no_repetitive_text_is_above_its_limit(kind):
+    r, ratio, of, seen = random.Random(kind), repeat._compressor(), repeat.Hashes(), 0
+    for n in (44, 60, 90, 150, 300, 700, 2_000, 6_000, 40_000):
+        for _ in range(12 if n < 5_000 else 2):
+            w = _repeating(r, n, kind)
+            share = repeat.repeated_share(w)[1]
+            for cut in (0.05, 0.1, 0.15, 0.2, 0.3, 0.5):
+                if share >= cut:
+                    seen += 1
+                    assert ratio(repeat.stream(w, of).tobytes()) <= repeat.limit(len(w), cut)
+    assert seen > 50
+
+
 def test_far_repeats_of_a_long_text():
-    block = " ".join(f"{i:x}{i * 7919 % 10007}" for i in range(220_000))
-    assert len(block) > 1 << 21 and repeat._compressor()((block + block).encode()) < 0.6 * repeat._compressor()(block.encode())
+    block = [f"{i:x}{i * 7919 % 10007}" for i in range(500_000)]
+    data, ratio = repeat.stream(block, repeat.Hashes()).tobytes(), repeat._compressor()
+    assert len(data) > 1 << 20 and ratio(data) > 0.95 and ratio(data + data) < 0.6
