@@ -7,10 +7,9 @@ hit are verified: the longest exact run, the share of the passage's distinct run
 words, and on the diagonal with most hits the longest overlap that tolerates single
 substitutions.
 
-Why no case is lost: a run of 12 equal words holds every mask; and where half of a
-passage's runs of four words occur in a text, they lie in equal stretches of which one has
-6 words at least (stretches of up to five give at most two fifths). Passages too short for
-that argument are also looked up with the plain mask of four.
+Why no case is lost: a run of 12 equal words, and half of a passage's runs of four words (or
+any share of them), hold a run of four, and every passage is also looked up with the plain
+mask of four. The distinct runs are then counted for every pair that has one in common.
 
 The index is sent to every task only in slices of at most ``SLICE`` windows; a larger test
 set takes several passes over the texts.
@@ -28,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MASKS = ("110111", "111011", "101111")
-PLAIN = "1111"
-SHORT = 16  # words under which a passage is also looked up with PLAIN
+PLAIN = "1111"  # the runs of four that are counted
 SLICE = 2_000_000
-GRAM, RUN = 4, 12
+RUN = 12
+SEED_HITS = 5  # windows on one diagonal from which a substitution-tolerant overlap is measured
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -40,7 +39,10 @@ def words(text: str | None) -> list[str]:
     if not text:
         return []
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        text = unicodedata.normalize("NFKD", text)
+        for c in set(text):
+            if c > "\u02ff" and unicodedata.combining(c):
+                text = text.replace(c, "")
     return _WORD.findall(text.lower())
 
 
@@ -67,17 +69,16 @@ class Index:
         token = [words(p) for _, p in items]
         self.vocab = {w: k + 1 for k, w in enumerate(sorted({w for t in token for w in t}))}
         self.ids = [np.array([self.vocab[w] for w in t], np.uint64) for t in token]
-        self.masks = list(MASKS) + [PLAIN] * any(len(t) < SHORT for t in token)
-        self.seeds = {m: self._table(m, short=m == PLAIN) for m in self.masks}
-        self.grams = self._table("1" * GRAM)
+        self.long = np.array([len(x) for x in self.ids], np.int64)
+        self.begin = np.cumsum(self.long) - self.long
+        self.flat = np.concatenate([*self.ids, np.zeros(0, np.uint64)])
+        self.seeds = {m: self._table(m) for m in (*MASKS, PLAIN)}
         self.runs = self._table("1" * RUN)
-        self.n_grams = np.array([len(np.unique(_windows(x, "1" * GRAM))) for x in self.ids])
+        self.n_grams = np.array([len(np.unique(_windows(x, PLAIN))) for x in self.ids])
 
-    def _table(self, mask: str, short: bool = False):
+    def _table(self, mask: str):
         hashes, item, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k, x in enumerate(self.ids):
-            if short and len(x) >= SHORT:
-                continue
             h = _windows(x, mask)
             hashes.append(h)
             item.append(np.full(len(h), k))
@@ -101,20 +102,32 @@ def _lookup(table, h: np.ndarray):
     return np.repeat(win, n), item[src], place[src]
 
 
-def _tolerant(doc: np.ndarray, item: np.ndarray, diag: int) -> int:
-    """Longest stretch of a diagonal in which mismatches stand alone, at least three matches apart."""
-    lo, hi = max(0, -diag), min(len(item), len(doc) - diag)
-    if lo >= hi:
-        return 0
-    same = item[lo:hi] == doc[lo + diag : hi + diag]
-    bad = np.flatnonzero(~same)
-    best, start = 0, 0
-    for k, p in enumerate(bad):
-        if k and p - bad[k - 1] <= 3:
-            best, start = max(best, bad[k - 1] - start), bad[k - 1] + 1
-        if p == start:
-            start = p + 1
-    return int(max(best, len(same) - start))
+def _tolerant(docs: np.ndarray, doc_at: np.ndarray, doc_n: np.ndarray, items: np.ndarray, item_at: np.ndarray, item_n: np.ndarray, diag: np.ndarray) -> np.ndarray:
+    """For each pair, the longest stretch of its diagonal in which mismatches stand alone, at least three matches apart.
+
+    A pair is the words of ``docs`` from ``doc_at`` on, those of ``items`` from ``item_at`` on,
+    and the place in the text less that in the passage. All pairs at once: a stretch ends at
+    the delimiting mismatches, those that begin it or follow or precede another too closely.
+    """
+    lo = np.maximum(0, -diag)
+    n = np.maximum(np.minimum(item_n, doc_n - diag) - lo, 0)
+    pair = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+    at = lo[pair] + place
+    bad = np.flatnonzero(items[item_at[pair] + at] != docs[doc_at[pair] + diag[pair] + at])
+    of, place = pair[bad], place[bad]
+    gap = np.where(of[1:] == of[:-1], place[1:] - place[:-1], 1 << 40)
+    ends = place == 0
+    ends[:-1] |= gap <= 3
+    ends[1:] |= gap == 1
+    every = np.arange(len(n))
+    of, place = np.concatenate([of[ends], every, every]), np.concatenate([place[ends], np.full(len(n), -1), n])
+    order = np.lexsort((place, of))
+    of, place = of[order], place[order]
+    long = np.where(of[1:] == of[:-1], place[1:] - place[:-1] - 1, 0)
+    out = np.zeros(len(n), np.int64)
+    np.maximum.at(out, of[1:], long)
+    return out
 
 
 def overlaps(texts: DataFrame, items: DataFrame) -> DataFrame:
@@ -155,13 +168,17 @@ def _search(index):
                 for t in b.column("text").to_pylist():
                     docs.append(np.array([get(w, 0) for w in words(t)], np.uint64))
                 flat = np.concatenate([v for d in docs for v in (d, gap)] or [gap])
-                begin = np.cumsum([0] + [len(d) + RUN for d in docs])[:-1]
+                long = np.array([len(d) for d in docs], np.int64)
+                begin = np.cumsum(long + RUN) - long - RUN
                 pair_of = lambda win, item: (np.searchsorted(begin, win, "right") - 1) * n_items + item
                 codes, diags = [], []
-                for m in x.masks:
-                    win, item, place = _lookup(x.seeds[m], _windows(flat, m))
+                for m, seeds in x.seeds.items():
+                    windows = _windows(flat, m)
+                    win, item, place = _lookup(seeds, windows)
                     codes.append(pair_of(win, item))
                     diags.append(win - place)
+                    if m == PLAIN:
+                        common, runs = codes[-1], windows[win]
                 code, diag = np.concatenate(codes), np.concatenate(diags)
                 if not len(code):
                     continue
@@ -173,26 +190,20 @@ def _search(index):
                 c, dg, n = code[edge][by], diag[edge][by], n[by]
                 lead = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
                 pairs, dg, hits = c[lead], dg[lead], n[lead]
-                win, item, _ = _lookup(x.grams, _windows(flat, "1" * GRAM))
-                doc_gram = pair_of(win, item)
-                cand = np.isin(doc_gram, pairs)
-                grams = _windows(flat, "1" * GRAM)[win[cand]]
-                doc_gram = doc_gram[cand]
-                o = np.lexsort((grams, doc_gram))
-                g, dgm = grams[o], doc_gram[o]
-                new = np.r_[True, (dgm[1:] != dgm[:-1]) | (g[1:] != g[:-1])] if len(g) else np.zeros(0, bool)
-                keys, counts = np.unique(dgm[new], return_counts=True)
+                o = np.lexsort((runs, common))
+                common, runs = common[o], runs[o]
+                new = np.r_[True, (common[1:] != common[:-1]) | (runs[1:] != runs[:-1])] if len(runs) else np.zeros(0, bool)
+                keys, counts = np.unique(common[new], return_counts=True)
                 shared_n = np.zeros(len(pairs), np.int64)
-                at = np.searchsorted(pairs, keys)
-                shared_n[at] = counts
+                shared_n[np.searchsorted(pairs, keys)] = counts
                 win, item, _ = _lookup(x.runs, _windows(flat, "1" * RUN))
                 run12 = np.isin(pairs, pair_of(win, item))
                 total = x.n_grams[pairs % n_items]
                 shared = np.where(total > 0, shared_n / np.maximum(total, 1), np.nan)
                 tol = np.zeros(len(pairs), np.int32)
-                for k in np.flatnonzero(hits >= 4):
-                    d = pairs[k] // n_items
-                    tol[k] = _tolerant(docs[d], x.ids[pairs[k] % n_items], int(dg[k] - begin[d]))
+                k = np.flatnonzero(hits >= SEED_HITS)
+                d, it = pairs[k] // n_items, pairs[k] % n_items
+                tol[k] = _tolerant(flat, begin[d], long[d], x.flat, x.begin[it], x.long[it], dg[k] - begin[d])
                 keep = np.flatnonzero(run12 | (shared >= 0.25) | (tol >= RUN))
                 if len(keep):
                     ids = b.column("id").take(pa.array(pairs[keep] // n_items))
