@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loreforge.functions.text import index_tokens
+from loreforge.session import table
+
+RUN, PART = 12, 4  # words in a row that tell a passage, and runs of which half do
 
 def recall_at(returned: Column, relevant: Column, k: int) -> Column:
     """Share of the relevant ids among the first k; 1 where nothing is relevant."""
@@ -24,6 +28,26 @@ def reciprocal_rank(returned: Column, relevant: Column) -> Column:
     return F.coalesce(1 / F.array_min(places), F.lit(0.0))
 
 
+def _runs(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, n, run)``: hashes of the distinct runs of 4 and of 12 index words of each text."""
+    hashed = df.filter(F.col(key).isNotNull()).select(key, F.transform(index_tokens(F.col(text)), lambda t: F.xxhash64(t)).alias("h"))
+    of = lambda n: F.when(F.size("h") >= n, F.transform(F.sequence(F.lit(1), F.size("h") - n + 1), lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice("h", i, n)).alias("run"))))
+    both = F.flatten(F.array_compact(F.array(of(PART), of(RUN))))
+    return hashed.select(key, F.explode(F.array_distinct(both)).alias("r")).select(key, "r.n", "r.run")
+
+
+def holding(docs: DataFrame, passages: DataFrame, share: float = 0.5) -> DataFrame:
+    """``(query_id, id)``: which of ``docs(id, text)`` hold the passages of ``passages(query_id, passage)``.
+
+    A document holds a passage with 12 of its words in a row, or with ``share`` of its distinct
+    runs of four words. The passages' runs are a table whose size decides how they are joined.
+    """
+    wanted = table(_runs(passages, "query_id", "passage"), "runs")
+    sizes = wanted.filter(F.col("n") == PART).groupBy("query_id").agg(F.count("*").alias("total"))
+    found = _runs(docs, "id", "text").join(wanted, ["n", "run"]).groupBy("query_id", "id").agg(F.count_if(F.col("n") == PART).alias("parts"), F.max("n").alias("most"))
+    return found.join(sizes, "query_id", "left").filter((F.col("most") == RUN) | (F.col("parts") >= share * F.col("total") - 1e-9)).select("query_id", "id")
+
+
 def judge(answers: DataFrame, judgements: DataFrame) -> DataFrame:
     """``(query_id, returned, relevant)``: ``answers(query_id, rank, id)`` beside ``judgements(query_id, relevant array)``; every judged query has a row."""
     got = answers.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("_r")).select("query_id", F.col("_r.id").alias("returned"))
@@ -31,25 +55,31 @@ def judge(answers: DataFrame, judgements: DataFrame) -> DataFrame:
     return judgements.select("query_id", "relevant").join(got, "query_id", "left").select("query_id", F.coalesce("returned", empty).alias("returned"), F.coalesce("relevant", empty).alias("relevant"))
 
 
-def scores(judged: DataFrame) -> DataFrame:
+def scores(judged: DataFrame, *keep: str) -> DataFrame:
     r, g = F.col("returned"), F.col("relevant")
     return judged.select(
-        "query_id", "returned", "relevant",
+        "query_id", "returned", "relevant", *keep,
         recall_at(r, g, 1).alias("recall_1"), recall_at(r, g, 3).alias("recall_3"), recall_at(r, g, 5).alias("recall_5"),
         precision_at(r, g, 1).alias("precision_1"), reciprocal_rank(r, g).alias("rr"),
     )
 
 
-def evaluate(judged: DataFrame) -> DataFrame:
-    """One row of means over the queries with relevant ids, and the share of the others that got no answer (1 if there are none)."""
-    s = scores(judged).withColumn("pos", F.size("relevant") > 0)
+def evaluate(judged: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each value of ``by``) of means over the queries with relevant ids, and the share of the others that got no answer (1 if there are none).
+
+    With a column ``thin`` (every answer of the query has too little evidence) such an answer
+    counts as none.
+    """
+    silent = F.size("returned") == 0
+    if "thin" in judged.columns:
+        silent = silent | F.coalesce("thin", F.lit(False))
+    s = scores(judged.withColumn("_none", F.when(silent, 1.0).otherwise(0.0)), "_none", *by).withColumn("pos", F.size("relevant") > 0)
     of = lambda c: F.round(F.coalesce(F.avg(F.when(F.col("pos"), c)), F.lit(0.0)), 9)
-    none = F.when(F.size("returned") == 0, 1.0).otherwise(0.0)
-    return s.agg(
+    return s.groupBy(*by).agg(
         F.count("*").alias("n_queries"),
         of(F.col("recall_1")).alias("recall_1"), of(F.col("recall_3")).alias("recall_3"), of(F.col("recall_5")).alias("recall_5"),
-        of(F.col("precision_1")).alias("precision_1"), of(F.col("rr")).alias("mrr"), of(none).alias("zero_result_rate"),
-        F.round(F.coalesce(F.avg(F.when(~F.col("pos"), none)), F.lit(1.0)), 9).alias("true_negative_rate"),
+        of(F.col("precision_1")).alias("precision_1"), of(F.col("rr")).alias("mrr"), of(F.col("_none")).alias("zero_result_rate"),
+        F.round(F.coalesce(F.avg(F.when(~F.col("pos"), F.col("_none"))), F.lit(1.0)), 9).alias("true_negative_rate"),
     )
 
 
@@ -61,12 +91,13 @@ def failures(judged: DataFrame, k: int = 5) -> DataFrame:
 
 
 def sweep(answers: DataFrame, judgements: DataFrame, thresholds: list[float], score: str = "score") -> DataFrame:
-    """``evaluate`` for every threshold on the answers' score, in one job."""
-    out = None
-    for t in thresholds:
-        one = evaluate(judge(answers.filter(F.col(score) >= t), judgements)).withColumn("threshold", F.lit(float(t)))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """``evaluate`` for every threshold on the answers' score: one list per query, cut at each threshold, in one aggregation."""
+    listed = answers.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", F.col(score).alias("s")))).alias("_r"))
+    rows = judgements.select("query_id", "relevant").join(listed, "query_id", "left")
+    rows = rows.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
+    none = F.array().cast("array<long>")
+    kept = F.transform(F.filter("_r", lambda x: x["s"] >= F.col("threshold")), lambda x: x["id"])
+    return evaluate(rows.select("query_id", "threshold", F.coalesce(kept, none).alias("returned"), F.coalesce("relevant", none).alias("relevant")), ("threshold",))
 
 
 def report(metrics: DataFrame) -> DataFrame:

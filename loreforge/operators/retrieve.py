@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loreforge.functions.text import covered, coverage_floor, strict_terms
 from loreforge.operators.index import Index, bm25, build, phrases, plan_queries
+from loreforge.session import table
 from loreforge.tables import tag_array
 
 FIELDS = ["content", "category", "tags", "source", "project"]
@@ -19,23 +20,29 @@ GLOBAL_BOOST, TOOL_COVERAGE, HOOK_COVERAGE = 1.05, 0.6, 0.4
 
 
 class Store:
-    """Current lessons and their passages, with an index of each that is built and written when first needed.
+    """Current lessons and their passages, with an index of each that is built and stored when first needed.
 
     ``lessons(id, content, ...)`` one row per id; ``passages(id, lesson_id, text)``, of which
-    those without a lesson are left out.
+    those without a lesson are left out. ``keep(name, make)`` says where index tables are
+    stored: with ``session.kept_table`` they outlive the query and serve all later ones on the
+    same version of the data. Indexes opened from a folder can be handed over as they are.
     """
 
-    def __init__(self, lessons: DataFrame, passages: DataFrame):
+    def __init__(self, lessons: DataFrame, passages: DataFrame, keep=None, lesson_index: Index | None = None, passage_index: Index | None = None):
         self.lessons = lessons
         self.passages = passages.join(lessons.select(F.col("id").alias("lesson_id")), "lesson_id", "left_semi")
+        self.keep, self._lesson_index, self._passage_index = keep, lesson_index, passage_index
+
+    def _stored(self, index: Index, grain: str) -> Index:
+        return index.stored(self.keep and (lambda name, make: self.keep(f"{grain}-{name}", make)))
 
     @cached_property
     def lesson_index(self) -> Index:
-        return build(self.lessons, FIELDS).stored()
+        return self._lesson_index or self._stored(build(self.lessons, FIELDS), "lessons")
 
     @cached_property
     def passage_index(self) -> Index:
-        return build(self.passages, ["text"]).stored()
+        return self._passage_index or self._stored(build(self.passages, ["text"]), "passages")
 
 
 def depth(limit: int = 10) -> int:
@@ -75,24 +82,30 @@ def _filtered(hits: DataFrame, store: Store, plan: DataFrame, key: str = "id") -
     return hits.join(wants, "query_id").join(facts, key).filter(cond).select(*hits.columns)
 
 
+def _heads(hits: DataFrame, sizes: DataFrame, k: int, name: str) -> DataFrame:
+    """The k best hits that hold every term of their query and the k best of the others, with ``every``; written, as several lists read it."""
+    every = F.col("has_all") & (F.col("n_matched") == F.col("n_terms"))
+    rows = hits.join(sizes, "query_id").withColumn("every", every).drop("has_all", "n_terms")
+    w = Window.partitionBy("query_id", "every").orderBy("score", "id")
+    return table(rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).drop("_n"), name)
+
+
+def _sizes(plan: DataFrame) -> DataFrame:
+    return plan.select("query_id", F.size("terms").alias("n_terms"), "has_all")
+
+
 def lexical(store: Store, plan: DataFrame, k: int) -> dict[str, DataFrame]:
     """The three lesson retrievers: every term, any term, any stem. Filters apply before the cut."""
-    sizes = plan.select("query_id", F.size("terms").alias("n_terms"), "has_all", "has_prefix")
-    hits = _filtered(bm25(store.lesson_index, phrases(plan, "terms")), store, plan).join(sizes, "query_id")
+    hits = _heads(_filtered(bm25(store.lesson_index, phrases(plan, "terms")), store, plan), _sizes(plan), k, "lexical")
     stemmed = _filtered(bm25(store.lesson_index, phrases(plan.filter("has_prefix"), "stems"), prefix=True), store, plan)
-    return {
-        "all": _ranked(hits.filter(F.col("has_all") & (F.col("n_matched") == F.col("n_terms"))), "all", k),
-        "any": _ranked(hits, "any", k),
-        "prefix": _ranked(stemmed, "prefix", k),
-    }
+    return {"all": _ranked(hits.filter("every"), "all", k), "any": _ranked(hits, "any", k), "prefix": _ranked(stemmed, "prefix", k)}
 
 
 def by_passage(store: Store, plan: DataFrame, k: int) -> dict[str, DataFrame]:
     """Passage retrievers: the best passages, then the best of each lesson, ranked among lessons."""
-    sizes = plan.select("query_id", F.size("terms").alias("n_terms"), "has_all")
     owner = store.passages.select("id", "lesson_id")
-    hits = bm25(store.passage_index, phrases(plan, "terms")).join(owner, "id").join(sizes, "query_id")
-    hits = _filtered(hits, store, plan, "lesson_id")
+    hits = _filtered(bm25(store.passage_index, phrases(plan, "terms")).join(owner, "id"), store, plan, "lesson_id")
+    hits = _heads(hits, _sizes(plan), k * 3, "passages")
 
     def lessons_of(rows: DataFrame, name: str) -> DataFrame:
         top = _ranked(rows, name, k * 3).drop("rank")
@@ -100,10 +113,7 @@ def by_passage(store: Store, plan: DataFrame, k: int) -> dict[str, DataFrame]:
         best = top.withColumn("f", F.row_number().over(first)).filter("f = 1").withColumnRenamed("id", "chunk_id")
         return _ranked(best.withColumnRenamed("lesson_id", "id").drop("f"), name, k)
 
-    return {
-        "chunk_all": lessons_of(hits.filter(F.col("has_all") & (F.col("n_matched") == F.col("n_terms"))), "chunk_all"),
-        "chunk_any": lessons_of(hits, "chunk_any"),
-    }
+    return {"chunk_all": lessons_of(hits.filter("every"), "chunk_all"), "chunk_any": lessons_of(hits, "chunk_any")}
 
 
 def by_vector(store: Store, plan: DataFrame, near: DataFrame, k: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loreforge.functions import text as tx
 from loreforge.operators import chunking, embed, index, knn, metrics, recurrence, retrieve
-from loreforge.session import table
+from loreforge.session import kept_table, table, version
 from loreforge.tables import current, one_per_key, read
 
 LESSON = ["category", "tags", "content", "source", "project", "severity", "created_at", "updated_at", "shown_count", "last_shown_at", "scope", "repeats"]
@@ -27,8 +27,28 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "query")
 
 
+def _keeper(spark: SparkSession, d: str, *names: str):
+    """``keep(name, make)`` for tables made of the files ``names``: made once for each version of them."""
+    of = version(spark, [f"{d}/{n}.parquet" for n in names])
+    return lambda name, make: kept_table(spark, name, of, make)
+
+
 def store(spark: SparkSession, d: str) -> retrieve.Store:
-    return retrieve.Store(table(lessons(spark, d), "lessons"), table(passages(spark, d), "passages"))
+    keep = _keeper(spark, d, "lessons", "lesson_chunks")
+    return retrieve.Store(keep("store-lessons", lambda: lessons(spark, d)), keep("store-passages", lambda: passages(spark, d)), keep)
+
+
+#: Short queries of our own beside the judged ones, which are whole sentences that few lessons hold word for word.
+STATED = (
+    "shared cache", "empty header", "batch retry", "proxy version", "restart requests", "wrong build", "remote scheduler", "which lines",
+    "before touching", "outdated migration", "without warning", "partial index lines", "first seconds after restart", "cache_header", "wierszy",
+)
+
+
+def stated(spark: SparkSession, d: str) -> DataFrame:
+    """The judged queries and the stated short ones (ids from -1 down)."""
+    own = spark.createDataFrame([(-k, q) for k, q in enumerate(STATED, 1)], "query_id long, query string")
+    return asked(spark, d).unionByName(own)
 
 
 def t1_query_plan(spark: SparkSession, d: str) -> DataFrame:
@@ -74,22 +94,25 @@ def t17_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 def k2_index_stats(spark: SparkSession, d: str) -> DataFrame:
     """How many lessons hold each index word, and how often."""
-    ix = index.build(lessons(spark, d), retrieve.FIELDS)
+    ix = store(spark, d).lesson_index
     return ix.postings.groupBy("term").agg(F.count("*").alias("lessons"), F.sum("tf").alias("occurrences"))
 
 
-def _list(df: DataFrame) -> DataFrame:
-    return df.select("query_id", "rank", "id", "score")
+def k2_update(spark: SparkSession, d: str) -> DataFrame:
+    """The same from an index of the archive that was brought up to date: archived lessons out, all current ones in."""
+    arch = read(spark, d, "lessons_archive").groupBy("id").agg(F.max_by(F.struct(*retrieve.FIELDS), F.struct("archived_at", "updated_at")).alias("r")).select("id", "r.*")
+    old = index.build(arch, retrieve.FIELDS).stored()
+    ix = index.update(old, lessons(spark, d), retrieve.FIELDS, arch)
+    return ix.postings.groupBy("term").agg(F.count("*").alias("lessons"), F.sum("tf").alias("occurrences"))
 
 
-def _short(spark: SparkSession, d: str) -> DataFrame:
-    """The first five words of every judged query: few enough that some lessons hold them all."""
-    return asked(spark, d).withColumn("query", F.array_join(F.slice(F.split("query", " "), 1, 5), " "))
+def _list(df: DataFrame) -> DataFrame:
+    return df.select("query_id", "rank", "id", "score")
 
 
 def _lexical(name: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        q = _short(spark, d) if name == "all" else asked(spark, d)
+        q = stated(spark, d) if name == "all" else asked(spark, d)
         return _list(retrieve.lexical(store(spark, d), index.plan_queries(q), retrieve.depth())[name])
 
     return run
@@ -97,7 +120,7 @@ def _lexical(name: str):
 
 def _passage(name: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        q = _short(spark, d) if name == "chunk_all" else asked(spark, d)
+        q = stated(spark, d) if name == "chunk_all" else asked(spark, d)
         df = retrieve.by_passage(store(spark, d), index.plan_queries(q), retrieve.depth())[name]
         return df.select("query_id", "rank", "id", "chunk_id", "score")
 
@@ -175,16 +198,17 @@ def w8_suggest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Ten best documents of each judged query, and the documents that hold the first eight words of its passage."""
+    """Ten best documents of each judged query, and the documents that hold its passage, wholly or for the most part."""
+    keep = _keeper(spark, d, "documents", "eval_items")
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    ix = index.build(docs, ["text"]).stored()
+    ix = index.build(docs, ["text"]).stored(lambda name, make: keep(f"documents-{name}", make))
     plan = index.plan_queries(asked(spark, d))
     hits = retrieve._ranked(index.bm25(ix, index.phrases(plan, "terms")), "any", 10)
-    starts = read(spark, d, "eval_items").select(F.col("item_id").alias("phrase"), F.slice(tx.index_tokens(F.col("passage")), 1, 8).alias("parts"))
-    held = index.matches(ix, starts.filter(F.size("parts") == 8)).groupBy(F.col("phrase").alias("query_id")).agg(F.array_sort(F.collect_list("id")).alias("relevant"))
+    passages_ = read(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "passage")
+    held = metrics.holding(docs, passages_).groupBy("query_id").agg(F.array_sort(F.collect_list("id")).alias("relevant"))
     judgements = asked(spark, d).select("query_id").join(held, "query_id", "left")
     judgements = judgements.withColumn("relevant", F.coalesce("relevant", F.array().cast("array<long>")))
-    return table(hits.select("query_id", "rank", "id", "score"), "answers"), table(judgements, "judgements")
+    return table(hits.select("query_id", "rank", "id", "score"), "answers"), keep("judgements", lambda: judgements)
 
 
 def g10_evaluate(spark: SparkSession, d: str) -> DataFrame:
@@ -208,7 +232,7 @@ def g18_failures(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        t1_query_plan, t5_quoted, t8_passages, t9_paragraphs, t10_previews, t13_project_names, t15_classify, t17_hashes, k2_index_stats,
+        t1_query_plan, t5_quoted, t8_passages, t9_paragraphs, t10_previews, t13_project_names, t15_classify, t17_hashes, k2_index_stats, k2_update,
         r8_browse, f1_recall, f1_recall_filtered, r6_hybrid, f4_severity_boosts, g5_recurrence, r10_prompt_scores, r13_prompt_recall,
         v1_knn, w8_suggest, g10_evaluate, g12_sweep, g17_report, g18_failures,
     )
@@ -277,17 +301,18 @@ _SRC = "exact AS (SELECT DISTINCT query_id, w AS phrase FROM term),\nstem AS (SE
 _ALLOWED = "JOIN (SELECT item_id AS query_id, category AS want FROM eval_items) want USING (query_id) JOIN (SELECT id AS {0}, category AS has FROM cur) has USING ({0})"
 
 
-_FIVE = "array_to_string(list_slice(string_split(query, ' '), 1, 5), ' ')"
+_STATED = "asked AS (SELECT item_id, query FROM eval_items UNION ALL VALUES " + ", ".join(f"(-{k}, '{q}')" for k, q in enumerate(STATED, 1)) + ")"
 
 
-def _retrievers(filtered: bool = False, column: str = "query") -> str:
+def _retrievers(filtered: bool = False, own: bool = False) -> str:
     ok = (lambda k: f"SELECT b.* FROM {{0}} b {_ALLOWED.format(k)} WHERE want IS NULL OR want = has") if filtered else (lambda k: "SELECT * FROM {0}")
     rank = "row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rank"
     passage = lambda n, cond: f"""{n}_top AS (SELECT * FROM c_hit WHERE {cond} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, id) <= 150),
 {n}_one AS (SELECT query_id, lesson_id AS id, id AS chunk_id, score FROM {n}_top QUALIFY row_number() OVER (PARTITION BY query_id, lesson_id ORDER BY score, id) = 1),
 {n} AS (SELECT *, {rank} FROM {n}_one QUALIFY rank <= 50)"""
     return f"""WITH {CUR}, {PAS},
-{_terms(column=column)},
+{_STATED},
+{_terms(source="asked" if own else "eval_items")},
 {_SRC},
 {_L},
 {_P},
@@ -354,15 +379,27 @@ SELECT query_id, h.id, round(score - CASE WHEN project = 'northquay' THEN 2 ELSE
   - CASE WHEN severity = 'critical' THEN 1.5 WHEN severity IN ('important', 'high') THEN 0.75 ELSE 0 END - least(1.8, greatest(0, (coalesce(recurrence, 1) - 1) * 0.6)), 9) AS score, covered, floor
 FROM hit h JOIN cov USING (query_id, id) JOIN cur ON cur.id = h.id LEFT JOIN chain ON chain.id = h.id WHERE covered >= floor"""
 
+def _grams(source: str, n: int) -> str:
+    """Distinct runs of ``n`` words of ``source(k, w)``, as SQL."""
+    return f"SELECT DISTINCT k, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i : i + {n - 1}], ' '))) AS s FROM {source} WHERE len(w) >= {n}"
+
+
 _JUDGED = f"""WITH docs AS (SELECT doc_id AS id, "text" FROM documents),
 {_terms()},
 exact AS (SELECT DISTINCT query_id, w AS phrase FROM term),
 {_occ("l", "docs", ["text"])},
 {_bm25("e", "l", "exact", False)},
 ans AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rank FROM e_score QUALIFY rank <= 10),
-head AS (SELECT item_id AS query_id, list_slice({_TOKENS.format("passage")}, 1, 8) AS parts FROM eval_items),
-hp AS (SELECT query_id, unnest(parts) AS term, generate_subscripts(parts, 1) - 1 AS j FROM head WHERE len(parts) = 8),
-rel AS (SELECT DISTINCT query_id, id FROM (SELECT query_id, o.id, o.pos - j AS pos FROM hp JOIN l_occ o USING (term) GROUP BY ALL HAVING count(*) = 8)),
+said AS (SELECT item_id AS k, {_TOKENS.format("passage")} AS w FROM eval_items),
+said4 AS ({_grams("said", 4)}),
+said12 AS ({_grams("said", 12)}),
+text AS (SELECT id AS k, t AS w FROM l_tok),
+text4 AS (SELECT * FROM ({_grams("text", 4)}) WHERE s IN (SELECT s FROM said4)),
+text12 AS (SELECT * FROM ({_grams("text", 12)}) WHERE s IN (SELECT s FROM said12)),
+size4 AS (SELECT k, count(*) AS n FROM said4 GROUP BY 1),
+rel AS (
+  SELECT i.k AS query_id, t.k AS id FROM said4 i JOIN text4 t USING (s) JOIN size4 ON size4.k = i.k GROUP BY i.k, t.k, n HAVING count(*) >= 0.5 * n - 1e-9
+  UNION SELECT i.k, t.k FROM said12 i JOIN text12 t USING (s)),
 nrel AS (SELECT e.item_id AS query_id, count(rel.id) AS nrel FROM eval_items e LEFT JOIN rel ON rel.query_id = e.item_id GROUP BY 1),
 cut AS (SELECT unnest([{", ".join(map(str, SWEEP))}]) AS threshold),
 one AS (
@@ -389,6 +426,7 @@ SELECT id, len(p) AS paragraphs, p[1] AS "first" FROM p WHERE len(p) > 0""",
     "t13_project_names": r"""SELECT name, regexp_replace(string_split(regexp_replace(path || '-hotfix-1', '/+$', ''), '/')[-1], '-(session|hotfix|worktree)-.*$', '') AS folder FROM project_index""",
     "t17_hashes": f"WITH {CUR} SELECT id, sha256(content) AS hash FROM cur WHERE content IS NOT NULL",
     "k2_index_stats": f"WITH {CUR}, {_L} SELECT term, count(DISTINCT id) AS lessons, count(*)::BIGINT AS occurrences FROM l_occ GROUP BY 1",
+    "k2_update": f"WITH {CUR}, {_L} SELECT term, count(DISTINCT id) AS lessons, count(*)::BIGINT AS occurrences FROM l_occ GROUP BY 1",
     "r8_browse": f"WITH {CUR} SELECT id, created_at FROM cur ORDER BY created_at DESC, id DESC LIMIT 10",
     "f4_severity_boosts": f"WITH {CUR} SELECT severity, round(1 + 0.3 * (1 - count(*)::DOUBLE / (SELECT count(*) FROM cur)), 9) AS boost FROM cur WHERE severity IN ('critical', 'important') GROUP BY 1",
     "g5_recurrence": f"WITH RECURSIVE {CUR}, {_WALK} SELECT id, recurrence, round(CASE WHEN recurrence <= 1 THEN 1 ELSE least(1.3, 1 + 0.1 * (recurrence - 1)) END, 6)::DOUBLE AS boost FROM chain",
@@ -415,6 +453,6 @@ SELECT lesson_id, of_lesson, round(c, 5) AS similarity FROM b QUALIFY row_number
 WHERE threshold = -1e9 AND ((nrel > 0 AND h5 < nrel) OR (nrel = 0 AND got > 0))""",
 }
 for _name in ("all", "any", "prefix"):
-    SQL[{"all": "r1_all", "any": "r2_any", "prefix": "r3_prefix"}[_name]] = _retrievers(column=_FIVE if _name == "all" else "query") + f"SELECT query_id, rank::INTEGER AS rank, id, score FROM q_{_name}"
+    SQL[{"all": "r1_all", "any": "r2_any", "prefix": "r3_prefix"}[_name]] = _retrievers(own=_name == "all") + f"SELECT query_id, rank::INTEGER AS rank, id, score FROM q_{_name}"
 for _name, _key in (("chunk_all", "r4_chunk_all"), ("chunk_any", "r5_chunk_any")):
-    SQL[_key] = _retrievers(column=_FIVE if _name == "chunk_all" else "query") + f"SELECT query_id, rank::INTEGER AS rank, id, chunk_id, score FROM q_{_name}"
+    SQL[_key] = _retrievers(own=_name == "chunk_all") + f"SELECT query_id, rank::INTEGER AS rank, id, chunk_id, score FROM q_{_name}"

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +31,12 @@ def session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> SparkSes
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests on one machine), a temporary one."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         named = "file://" + tempfile.mkdtemp(prefix="loreforge-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -46,6 +51,32 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def version(spark: SparkSession, paths: list[str]) -> str:
+    """A name for what the files under ``paths`` hold now: it changes with their names, sizes and times."""
+    facts = []
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in sorted(paths):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        found = p.getFileSystem(conf).listFiles(p, True)
+        while found.hasNext():
+            f = found.next()
+            facts.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(facts)).encode()).hexdigest()[:24]
+
+
+def kept_table(spark: SparkSession, name: str, of: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``name`` of the version ``of``: made and written by the first who asks, read by all later ones.
+
+    The success marker of the writer tells a whole table from one that was broken off.
+    """
+    path = f"{scratch(spark)}/{name}-{of}"
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    if not marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker):
+        make().write.mode("overwrite").option("compression", "zstd").parquet(path)
+        atexit.register(_drop, spark, path)
+    return spark.read.parquet(path)
+
+
 def counted_table(df: DataFrame, cond: Column, name: str = "t") -> tuple[DataFrame, int]:
     """``table`` and how many of its rows meet ``cond``, counted while they are written."""
     seen = Observation()
