@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreforge.functions.text import index_tokens, query_terms, stem
-from loreforge.session import table
+from loreforge.session import observed_table, table
 
 K1, B = 1.2, 0.75
 COLUMN_GAP = 1 << 20  # phrases never reach from one column into the next
+SENT = 200_000  # query words that are broadcast at most; a larger batch of queries is shuffled to the postings
 
 
 @dataclass(frozen=True)
@@ -127,25 +128,32 @@ def _prefix_words(index: Index, prefixes: DataFrame) -> DataFrame:
     return heads.select("term", F.explode(cut).alias("prefix")).join(asked, "prefix").select("prefix", "term")
 
 
-def matches(index: Index, wanted: DataFrame, prefix: bool = False) -> DataFrame:
+def _sent(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
+
+
+def matches(index: Index, wanted: DataFrame, prefix: bool = False, several: bool = True, few: bool = False) -> DataFrame:
     """``(phrase, id, tf, dl)`` of distinct ``wanted(phrase, parts)``; with ``prefix`` the last part is a prefix.
 
     Single words read their postings; phrases line up the positions of their parts.
+    ``several``: whether some phrase may have more than one part; ``few``: whether the phrases
+    are few enough to be sent to the postings.
     """
     w = wanted.select("phrase", "parts").dropDuplicates(["phrase"]).withColumn("m", F.size("parts"))
     one = w.filter("m = 1").select("phrase", F.col("parts")[0].alias("term"))
-    many = w.filter("m > 1").select("phrase", "m", F.posexplode("parts").alias("j", "term"))
+    many = w.filter(F.col("m") > 1 if several else F.lit(False)).select("phrase", "m", F.posexplode("parts").alias("j", "term"))
     if prefix:
         last = many.filter(F.col("j") == F.col("m") - 1).withColumnRenamed("term", "prefix")
         grown = _prefix_words(index, one.select(F.col("term").alias("prefix")).unionByName(last.select("prefix")))
         one = one.withColumnRenamed("term", "prefix").join(grown, "prefix").select("phrase", "term")
+        few = False  # the words grown from them may be many
         many = many.filter(F.col("j") < F.col("m") - 1).unionByName(last.join(grown, "prefix").select("phrase", "m", "j", "term"))
-    single = index.postings.join(one, "term").select("phrase", "id", "tf", "dl")
+    single = index.postings.join(_sent(one, few), "term").select("phrase", "id", "tf", "dl")
     if prefix:
         single = single.groupBy("phrase", "id").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
-    if w.filter("m > 1").isEmpty():
+    if not several:
         return single
-    spots = index.spots.join(many, "term").select("phrase", "m", "id", "j", F.explode("positions").alias("pos"))
+    spots = index.spots.join(_sent(many, few), "term").select("phrase", "m", "id", "j", F.explode("positions").alias("pos"))
     spots = spots.withColumn("at", F.col("pos") - F.col("j"))
     lined = spots.groupBy("phrase", "m", "id", "at").count().filter(F.col("count") == F.col("m"))
     lined = lined.groupBy("phrase", "id").agg(F.count("*").alias("tf")).join(index.lengths, "id")
@@ -158,9 +166,11 @@ def bm25(index: Index, wanted: DataFrame, prefix: bool = False) -> DataFrame:
     A phrase in more than half of the documents keeps a tiny weight instead of a negative
     one. Scores are rounded to nine places, so that equal ones tie.
     """
-    wanted = table(wanted.select("query_id", "phrase", "parts").distinct(), "wanted")
-    hits = matches(index, wanted, prefix)
-    if prefix or not wanted.filter(F.size("parts") > 1).isEmpty():
+    facts = {"several": F.count_if(F.size("parts") > 1), "words": F.sum(F.size("parts"))}
+    wanted, seen = observed_table(wanted.select("query_id", "phrase", "parts").distinct(), "wanted", **facts)
+    few = (seen["words"] or 0) <= SENT
+    hits = matches(index, wanted, prefix, seen["several"] > 0, few)
+    if prefix or seen["several"]:
         hits = table(hits, "hits")  # read for the frequencies and for the scores
         df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
     else:
@@ -169,6 +179,10 @@ def bm25(index: Index, wanted: DataFrame, prefix: bool = False) -> DataFrame:
     weights = df.crossJoin(F.broadcast(index.stats)).select("phrase", "avgdl", F.greatest(idf, F.lit(1e-6)).alias("idf"))  # one row of statistics
     norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    asked = wanted.select("query_id", "phrase").join(weights, "phrase")
-    scored = hits.join(asked, "phrase").select("query_id", "id", gain.alias("gain"))
+    asked = wanted.select("query_id", "phrase")
+    if few:  # one row per phrase with its queries: the gain of a hit is worked out once for all of them
+        by_phrase = asked.groupBy("phrase").agg(F.collect_list("query_id").alias("queries")).join(weights, "phrase")
+        scored = hits.join(F.broadcast(by_phrase), "phrase").select(F.explode("queries").alias("query_id"), "id", gain.alias("gain"))
+    else:
+        scored = hits.join(weights, "phrase").select("phrase", "id", gain.alias("gain")).join(asked, "phrase").select("query_id", "id", "gain")
     return scored.groupBy("query_id", "id").agg(F.round(-F.sum("gain"), 9).alias("score"), F.count("*").alias("n_matched"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 HOT_KEYS = 1000
-HOT_ROWS = 20_000  # a key with fewer rows is no problem for one task
+HOT_ROWS = 100_000  # a key with fewer rows of a few numbers each is no problem for one task
 
 
 def hot_keys(df: DataFrame, key: str, most: int = HOT_KEYS, least: int = HOT_ROWS) -> list:

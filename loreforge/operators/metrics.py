@@ -28,12 +28,19 @@ def reciprocal_rank(returned: Column, relevant: Column) -> Column:
     return F.coalesce(1 / F.array_min(places), F.lit(0.0))
 
 
+def _run_from(n: int):
+    return lambda i: F.xxhash64(F.slice("h", i, n))
+
+
 def _runs(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, n, run)``: hashes of the distinct runs of 4 and of 12 index words of each text."""
     hashed = df.filter(F.col(key).isNotNull()).select(key, F.transform(index_tokens(F.col(text)), lambda t: F.xxhash64(t)).alias("h"))
-    of = lambda n: F.when(F.size("h") >= n, F.transform(F.sequence(F.lit(1), F.size("h") - n + 1), lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice("h", i, n)).alias("run"))))
-    both = F.flatten(F.array_compact(F.array(of(PART), of(RUN))))
-    return hashed.select(key, F.explode(F.array_distinct(both)).alias("r")).select(key, "r.n", "r.run")
+    out = None
+    for n in (PART, RUN):
+        runs = F.transform(F.sequence(F.lit(1), F.size("h") - n + 1), _run_from(n))
+        part = hashed.filter(F.size("h") >= n).select(key, F.lit(n).alias("n"), F.explode(F.array_distinct(runs)).alias("run"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def holding(docs: DataFrame, passages: DataFrame, share: float = 0.5) -> DataFrame:

@@ -15,7 +15,7 @@ def chain_lengths(lessons: DataFrame) -> DataFrame:
 
     A link to a lesson that is not there counts as one more; a circle is walked once.
     """
-    r = resolve(lessons, parent="repeats")
+    r = resolve(lessons, parent="repeats", sizes=False)
     rings = r.filter((F.col("status") == "cycle") & (F.col("depth") == 0)).groupBy("root_id").agg(F.count("*").alias("ring"))
     linked = hot_key_join(r.filter(F.col("parent").isNotNull()), rings, "root_id", "left")
     n = F.when(F.col("status") == "cycle", F.col("depth") + F.col("ring")).when(F.col("status") == "open", F.col("depth") + 2).otherwise(F.col("depth") + 1)

@@ -132,7 +132,8 @@ def r8_browse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chains(spark: SparkSession, d: str) -> DataFrame:
-    return table(recurrence.chain_lengths(lessons(spark, d).select("id", "repeats")), "chains")
+    """How often each lesson has come back, counted once for each version of the lessons."""
+    return _keeper(spark, d, "lessons")("chains", lambda: recurrence.chain_lengths(lessons(spark, d).select("id", "repeats")))
 
 
 def f1_recall(spark: SparkSession, d: str) -> DataFrame:

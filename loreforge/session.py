@@ -84,6 +84,13 @@ def counted_table(df: DataFrame, cond: Column, name: str = "t") -> tuple[DataFra
     return out, seen.get["n"]
 
 
+def observed_table(df: DataFrame, name: str = "t", **facts: Column) -> tuple[DataFrame, dict]:
+    """``table`` and aggregates of its rows, taken while they are written."""
+    seen = Observation()
+    out = table(df.observe(seen, *[c.alias(n) for n, c in facts.items()]), name)
+    return out, seen.get
+
+
 def table(df: DataFrame, name: str = "t", partitions: int | None = None) -> DataFrame:
     """Write ``df`` as a parquet table in the shared folder and read it back.
 
