@@ -75,11 +75,11 @@ def evaluate(judged: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """One row (for each value of ``by``) of means over the queries with relevant ids, and the share of the others that got no answer (1 if there are none).
 
     With a column ``thin`` (every answer of the query has too little evidence) such an answer
-    counts as none.
+    counts as none where nothing is relevant: it was given with a warning.
     """
     silent = F.size("returned") == 0
     if "thin" in judged.columns:
-        silent = silent | F.coalesce("thin", F.lit(False))
+        silent = silent | (F.coalesce("thin", F.lit(False)) & (F.size("relevant") == 0))
     s = scores(judged.withColumn("_none", F.when(silent, 1.0).otherwise(0.0)), "_none", *by).withColumn("pos", F.size("relevant") > 0)
     of = lambda c: F.round(F.coalesce(F.avg(F.when(F.col("pos"), c)), F.lit(0.0)), 9)
     return s.groupBy(*by).agg(

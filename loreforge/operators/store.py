@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loreforge.functions.text import content_hash
 from loreforge.operators.joins import hot_key_join
+from loreforge.session import table
 from loreforge.tables import tag_array
 
 # Categories and severities of lessons.
@@ -50,21 +51,43 @@ def problems(rows: DataFrame) -> DataFrame:
     return rows.withColumn("problem", why).filter(F.col("problem").isNotNull())
 
 
-def learn(lessons: DataFrame, new: DataFrame) -> DataFrame:
-    """Appends ``new(category, content, tags array, project, severity, scope, repeats, source)`` with ids after the greatest.
+def numbered(new: DataFrame, after: DataFrame, order: list) -> DataFrame:
+    """``new`` with dense ids that go on after the greatest of ``after``, in the given order.
+
+    Rows are range-partitioned by the order and numbered within each partition; the partitions'
+    counts, one small row each, give where each begins. The sorted rows are written first, so
+    that partitions are the same for counting and numbering.
+    """
+    keys = [c.alias(f"_o{k}") for k, c in enumerate(order)]
+    names = [f"_o{k}" for k in range(len(keys))]
+    sorted_ = table(new.select("*", *keys).repartitionByRange(*names).withColumn("_p", F.spark_partition_id()), "numbered")
+    counts = sorted_.groupBy("_p").agg(F.count("*").alias("_n"))
+    begin = counts.withColumn("_b", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).select("_p", "_b")  # one row per partition
+    top = after.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    within = F.row_number().over(Window.partitionBy("_p").orderBy(*names))
+    out = sorted_.withColumn("_k", within).join(F.broadcast(begin), "_p").crossJoin(F.broadcast(top))  # one row
+    return out.withColumn("id", (F.col("_top") + F.col("_b") + F.col("_k")).cast("long")).drop("_p", "_b", "_k", "_top", *names)
+
 
-    Ids follow the order of the content's hash, each task numbering its own range of rows.
+def learned(lessons: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(lessons after, rows added)`` for ``new(category, content, tags array, project, severity, scope, repeats, source)``.
+
+    Ids go on after the greatest without gaps, in the order of the content's hash.
     """
-    top = lessons.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     now = F.current_timestamp()
-    made = new.repartitionByRange(F.sha2("content", 256)).sortWithinPartitions(F.sha2("content", 256))
-    made = made.withColumn("_n", F.monotonically_increasing_id()).crossJoin(F.broadcast(top))  # one row
+    made = numbered(new, lessons, [F.sha2("content", 256), F.to_json(F.struct("category", "project", "tags", "source"))])
     out = made.select(
-        (F.col("top") + 1 + F.col("_n")).alias("id"), "category", F.to_json(F.coalesce("tags", F.array().cast("array<string>"))).alias("tags"), "content", "source", "project",
+        "id", "category", F.to_json(F.coalesce("tags", F.array().cast("array<string>"))).alias("tags"), "content", "source", "project",
         F.coalesce("severity", F.lit("info")).alias("severity"), now.alias("created_at"), now.alias("updated_at"), F.lit(0).cast("long").alias("shown_count"),
         F.lit(None).cast("timestamp").alias("last_shown_at"), F.coalesce("scope", F.lit("project")).alias("scope"), F.col("repeats").cast("long").alias("repeats"),
     )
-    return lessons.select(out.columns).unionByName(out)
+    out = out.select(lessons.columns)
+    return lessons.unionByName(out), out
+
+
+def learn(lessons: DataFrame, new: DataFrame) -> DataFrame:
+    """The lessons after ``new`` ones were added (see ``learned``)."""
+    return learned(lessons, new)[0]
 
 
 def forget(lessons: DataFrame, archive: DataFrame, ids: DataFrame, reason: str | None = None, confirm: bool = False) -> tuple[DataFrame, DataFrame]:

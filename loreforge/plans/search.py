@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -147,6 +149,12 @@ def f1_recall_filtered(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.recall(store(spark, d), q, _chains(spark, d)).select("query_id", "rank", "id")
 
 
+def f1_recall_project(spark: SparkSession, d: str) -> DataFrame:
+    """The same within one project: its own lessons, those tagged with it, and global ones."""
+    q = asked(spark, d).withColumn("want_project", F.lit("northquay"))
+    return retrieve.recall(store(spark, d), q, _chains(spark, d)).select("query_id", "rank", "id")
+
+
 def r6_hybrid(spark: SparkSession, d: str) -> DataFrame:
     """The ranking with the vector retriever, texts embedded by the offline default."""
     st = store(spark, d)
@@ -175,6 +183,14 @@ def r10_prompt_scores(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.prompt_scores(store(spark, d), _prompts(spark, d), _chains(spark, d))
 
 
+def r10_not_shown(spark: SparkSession, d: str) -> DataFrame:
+    """The same for a session that has had every lesson that was ever shown."""
+    st = store(spark, d)
+    had = st.lessons.filter(F.coalesce("shown_count", F.lit(0)) > 0).select("id")
+    shown = _prompts(spark, d).select("query_id").crossJoin(had)  # a stated query set
+    return retrieve.prompt_scores(st, _prompts(spark, d), _chains(spark, d), shown)
+
+
 def r13_prompt_recall(spark: SparkSession, d: str) -> DataFrame:
     """What each prompt is shown, those shown before left out, with the text as rendered."""
     st = store(spark, d)
@@ -182,6 +198,27 @@ def r13_prompt_recall(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.rendered(top, st)
 
 
+def _lessons_holding(spark: SparkSession, d: str) -> DataFrame:
+    """``(query_id, relevant)``: of each judged query the lessons that hold its passage."""
+    q = read(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "passage")
+    held = metrics.holding(lessons(spark, d).select("id", F.col("content").alias("text")), q)
+    held = held.groupBy("query_id").agg(F.array_sort(F.collect_list("id")).alias("relevant"))
+    return q.select("query_id").join(held, "query_id", "left").withColumn("relevant", F.coalesce("relevant", F.array().cast("array<long>")))
+
+
+def g10_recall_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """The whole ranking against the lessons that hold each passage; an answer of thin hits only counts as none where nothing is relevant."""
+    answers = table(f1_recall(spark, d).select("query_id", "rank", "id", "thin"), "answers")
+    thin = answers.groupBy("query_id").agg(F.every("thin").alias("thin"))
+    return metrics.evaluate(metrics.judge(answers, _lessons_holding(spark, d)).join(thin, "query_id", "left"))
+
+
+def g11_prompt_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """What prompts are shown against the lessons that hold each passage."""
+    top = retrieve.prompt_recall(store(spark, d), _prompts(spark, d), _chains(spark, d))
+    return metrics.evaluate(metrics.judge(top.select("query_id", "rank", "id"), _lessons_holding(spark, d)))
+
+
 def v1_knn(spark: SparkSession, d: str) -> DataFrame:
     """The ten nearest of all vectors for the stated queries, those whose id is divisible by 100."""
     v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
@@ -234,7 +271,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         t1_query_plan, t5_quoted, t8_passages, t9_paragraphs, t10_previews, t13_project_names, t15_classify, t17_hashes, k2_index_stats, k2_update,
-        r8_browse, f1_recall, f1_recall_filtered, r6_hybrid, f4_severity_boosts, g5_recurrence, r10_prompt_scores, r13_prompt_recall,
+        r8_browse, f1_recall, f1_recall_filtered, f1_recall_project, r6_hybrid, f4_severity_boosts, g5_recurrence, r10_prompt_scores, r10_not_shown, r13_prompt_recall,
+        g10_recall_evaluation, g11_prompt_evaluation,
         v1_knn, w8_suggest, g10_evaluate, g12_sweep, g17_report, g18_failures,
     )
 }
@@ -302,11 +340,18 @@ _SRC = "exact AS (SELECT DISTINCT query_id, w AS phrase FROM term),\nstem AS (SE
 _ALLOWED = "JOIN (SELECT item_id AS query_id, category AS want FROM eval_items) want USING (query_id) JOIN (SELECT id AS {0}, category AS has FROM cur) has USING ({0})"
 
 
+_TAGGED = "list_transform(CASE WHEN starts_with(trim(tags), '[') THEN from_json(trim(tags), '[\"VARCHAR\"]') ELSE string_split(tags, ',') END, lambda t: lower(trim(t)))"
+_OF_PROJECT = f"project = 'northquay' OR coalesce(list_contains({_TAGGED}, 'northquay'), false) OR coalesce(scope, 'project') = 'global'"
 _STATED = "asked AS (SELECT item_id, query FROM eval_items UNION ALL VALUES " + ", ".join(f"(-{k}, '{q}')" for k, q in enumerate(STATED, 1)) + ")"
 
 
-def _retrievers(filtered: bool = False, own: bool = False) -> str:
-    ok = (lambda k: f"SELECT b.* FROM {{0}} b {_ALLOWED.format(k)} WHERE want IS NULL OR want = has") if filtered else (lambda k: "SELECT * FROM {0}")
+def _retrievers(filtered: bool | str = False, own: bool = False) -> str:
+    if filtered == "project":
+        ok = lambda k: f"SELECT b.* FROM {{0}} b WHERE {k} IN (SELECT id FROM cur WHERE {_OF_PROJECT})"
+    elif filtered:
+        ok = lambda k: f"SELECT b.* FROM {{0}} b {_ALLOWED.format(k)} WHERE want IS NULL OR want = has"
+    else:
+        ok = lambda k: "SELECT * FROM {0}"
     rank = "row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rank"
     passage = lambda n, cond: f"""{n}_top AS (SELECT * FROM c_hit WHERE {cond} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, id) <= 150),
 {n}_one AS (SELECT query_id, lesson_id AS id, id AS chunk_id, score FROM {n}_top QUALIFY row_number() OVER (PARTITION BY query_id, lesson_id ORDER BY score, id) = 1),
@@ -339,7 +384,7 @@ _WALK = """walk(id, node, dist, trail) AS (
 chain AS (SELECT id, max(CASE WHEN list_contains(trail, node) THEN dist ELSE dist + 1 END)::BIGINT AS recurrence FROM walk GROUP BY id)"""
 
 
-def _fused(filtered: bool = False) -> str:
+def _fused(filtered: bool | str = False) -> str:
     names = ["all", "any", "prefix", "chunk_all", "chunk_any"]
     arms = " UNION ALL ".join(f"SELECT query_id, id, rank, '{n}' AS r, {'chunk_id' if n.startswith('chunk') else 'NULL'} AS chunk_id FROM q_{n}" for n in names)
     score = " + ".join(f"coalesce({retrieve.WEIGHTS[n]}::DOUBLE / (60 + min(rank) FILTER (r = '{n}')), 0.0::DOUBLE)" for n in names)
@@ -362,6 +407,11 @@ floor AS (SELECT query_id, least(3, greatest(2, ceil(n * 0.6::DOUBLE)))::INTEGER
     )
 
 
+def _grams(source: str, n: int) -> str:
+    """Distinct runs of ``n`` words of ``source(k, w)``, as SQL."""
+    return f"SELECT DISTINCT k, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i : i + {n - 1}], ' '))) AS s FROM {source} WHERE len(w) >= {n}"
+
+
 _PROMPT = f"""WITH RECURSIVE {CUR}, {PAS},
 {_terms(strict=True)},
 two AS (SELECT query_id FROM shape WHERE n >= 2),
@@ -375,14 +425,45 @@ e_top AS (SELECT query_id, id, score FROM e_score QUALIFY row_number() OVER (PAR
 s_top AS (SELECT query_id, id, score + 2 AS score FROM s_score QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, id) <= 60),
 hit AS (SELECT * FROM e_top UNION ALL SELECT * FROM s_top WHERE (query_id, id) NOT IN (SELECT (query_id, id) FROM e_top)),
 cov AS (SELECT query_id, h.id, count(*) FILTER (contains(lower(coalesce(content, '')), s))::INTEGER AS covered, least(3, greatest(2, ceil(count(*) * 0.4::DOUBLE)))::INTEGER AS floor
-  FROM hit h JOIN cur ON cur.id = h.id JOIN stemmed USING (query_id) GROUP BY 1, 2)
-SELECT query_id, h.id, round(score - CASE WHEN project = 'northquay' THEN 2 ELSE 0 END - CASE WHEN coalesce(scope, 'project') = 'global' THEN 1 ELSE 0 END
+  FROM hit h JOIN cur ON cur.id = h.id JOIN stemmed USING (query_id) GROUP BY 1, 2),
+hooked AS (SELECT query_id, h.id, round(score - CASE WHEN project = 'northquay' THEN 2 ELSE 0 END - CASE WHEN coalesce(scope, 'project') = 'global' THEN 1 ELSE 0 END
   - CASE WHEN severity = 'critical' THEN 1.5 WHEN severity IN ('important', 'high') THEN 0.75 ELSE 0 END - least(1.8, greatest(0, (coalesce(recurrence, 1) - 1) * 0.6)), 9) AS score, covered, floor
-FROM hit h JOIN cov USING (query_id, id) JOIN cur ON cur.id = h.id LEFT JOIN chain ON chain.id = h.id WHERE covered >= floor"""
+FROM hit h JOIN cov USING (query_id, id) JOIN cur ON cur.id = h.id LEFT JOIN chain ON chain.id = h.id WHERE covered >= floor)
+"""
+_SHOWN = f""",
+{_P},
+{_bm25("c", "p", "exact", False)},
+passage AS (SELECT query_id, lesson_id AS id, arg_min(c.id, (score, c.id)) AS chunk_id FROM c_score c JOIN live ON live.id = c.id GROUP BY 1, 2),
+three AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score, id)::INTEGER AS rank FROM hooked QUALIFY rank <= 3),
+given AS (SELECT t.query_id, t.rank, t.id, round(1.5::DOUBLE / (60 + t.rank), 9) AS score, chunk_id FROM three t LEFT JOIN passage USING (query_id, id))
+"""
+_HELD = rf""",
+said AS (SELECT item_id AS k, {_TOKENS.format("passage")} AS w FROM eval_items),
+said4 AS ({_grams("said", 4)}),
+said12 AS ({_grams("said", 12)}),
+text AS (SELECT id AS k, {_TOKENS.format("content")} AS w FROM cur),
+text4 AS (SELECT * FROM ({_grams("text", 4)}) WHERE s IN (SELECT s FROM said4)),
+text12 AS (SELECT * FROM ({_grams("text", 12)}) WHERE s IN (SELECT s FROM said12)),
+size4 AS (SELECT k, count(*) AS n FROM said4 GROUP BY 1),
+rel AS (
+  SELECT i.k AS query_id, t.k AS id FROM said4 i JOIN text4 t USING (s) JOIN size4 ON size4.k = i.k GROUP BY i.k, t.k, n HAVING count(*) >= 0.5 * n - 1e-9
+  UNION SELECT i.k, t.k FROM said12 i JOIN text12 t USING (s)),
+nrel AS (SELECT e.item_id AS query_id, count(rel.id) AS nrel FROM eval_items e LEFT JOIN rel ON rel.query_id = e.item_id GROUP BY 1)
+"""
 
-def _grams(source: str, n: int) -> str:
-    """Distinct runs of ``n`` words of ``source(k, w)``, as SQL."""
-    return f"SELECT DISTINCT k, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i : i + {n - 1}], ' '))) AS s FROM {source} WHERE len(w) >= {n}"
+
+def _evaluated(answers: str) -> str:
+    """Metrics of ``answers(query_id, rank, id, thin)`` against ``rel``, as SQL."""
+    return f""",
+one AS (
+  SELECT n.query_id, nrel, count(a.id) AS got, coalesce(bool_and(thin), false) AS thin,
+         count(*) FILTER (rel.id IS NOT NULL AND rank <= 1) AS h1, count(*) FILTER (rel.id IS NOT NULL AND rank <= 3) AS h3, count(*) FILTER (rel.id IS NOT NULL AND rank <= 5) AS h5,
+         min(rank) FILTER (rel.id IS NOT NULL) AS first
+  FROM nrel n LEFT JOIN ({answers}) a ON a.query_id = n.query_id LEFT JOIN rel ON rel.query_id = a.query_id AND rel.id = a.id GROUP BY 1, 2)
+SELECT count(*) AS n_queries, round(coalesce(avg(h1 / nrel) FILTER (nrel > 0), 0), 9) AS recall_1, round(coalesce(avg(h3 / nrel) FILTER (nrel > 0), 0), 9) AS recall_3,
+       round(coalesce(avg(h5 / nrel) FILTER (nrel > 0), 0), 9) AS recall_5, round(coalesce(avg(h1) FILTER (nrel > 0), 0), 9)::DOUBLE AS precision_1,
+       round(coalesce(avg(coalesce(1 / first, 0)) FILTER (nrel > 0), 0), 9) AS mrr, round(coalesce(avg(CASE WHEN got = 0 THEN 1 ELSE 0 END) FILTER (nrel > 0), 0), 9)::DOUBLE AS zero_result_rate,
+       round(coalesce(avg(CASE WHEN got = 0 OR thin THEN 1 ELSE 0 END) FILTER (nrel = 0), 1), 9)::DOUBLE AS true_negative_rate FROM one"""
 
 
 _JUDGED = f"""WITH docs AS (SELECT doc_id AS id, "text" FROM documents),
@@ -416,6 +497,19 @@ met AS (
          round(coalesce(avg(CASE WHEN got = 0 THEN 1 ELSE 0 END) FILTER (nrel = 0), 1), 9) AS true_negative_rate
   FROM one GROUP BY 1)
 """
+def _rules(text: str, rules: tuple) -> str:
+    """Rules as SQL, with word boundaries that know all letters."""
+    edge = r"[^\p{L}\p{N}_]"
+    bounded = lambda p: re.sub(r"\\b(?=\w)", lambda _: f"(?:^|{edge})", p).replace(r"\b", f"(?:$|{edge})")
+    return "CASE " + " ".join(f"WHEN regexp_matches({text}, '(?i){bounded(p)}') THEN '{n}'" for n, p in rules) + " END"
+
+
+_CLASSIFY = f"""WITH d AS (SELECT doc_id, kind, project, coalesce("text", '') AS body FROM documents),
+w AS (SELECT *, list_concat(['imported-md', 'note', project], list_filter(regexp_split_to_array(coalesce(kind, ''), '[-_\\s]'), lambda t: length(t) > 2)[1:6]) AS every FROM d),
+l AS (SELECT *, list_filter(list_transform(every, lambda t: lower(t)), lambda t: t IS NOT NULL AND t <> '') AS t FROM w)
+SELECT doc_id, CASE WHEN kind IN ('feedback', 'user') THEN 'workflow' WHEN kind = 'reference' THEN 'tooling' ELSE coalesce({_rules("body", tx.CATEGORY_RULES)}, 'business') END AS category,
+  coalesce({_rules("' ' || body", tx.SEVERITY_RULES)}, 'info') AS severity,
+  array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i)[1:10], ',') AS tags FROM l"""
 _PLAIN_TEXT = _STRIP.format("coalesce(content, '')")
 
 SQL = {
@@ -435,7 +529,26 @@ SELECT id, len(p) AS paragraphs, p[1] AS "first" FROM p WHERE len(p) > 0""",
     + """SELECT query_id, rank::INTEGER AS rank, id, score, array_to_string(who, ',') AS matched_by, chunk_id, coverage, coverage_floor, coverage < coverage_floor AS thin
 FROM top JOIN cov USING (query_id, id) JOIN floor USING (query_id)""",
     "f1_recall_filtered": _fused(True) + "SELECT query_id, rank::INTEGER AS rank, id FROM top",
-    "r10_prompt_scores": _PROMPT,
+    "r10_prompt_scores": _PROMPT + "SELECT * FROM hooked",
+    "r10_not_shown": _PROMPT + "SELECT * FROM hooked WHERE id NOT IN (SELECT id FROM cur WHERE coalesce(shown_count, 0) > 0)",
+    "r13_prompt_recall": _PROMPT
+    + _SHOWN
+    + """SELECT g.*, CASE WHEN length(coalesce(content, '')) > 1200 AND live."text" IS NOT NULL THEN live."text" ELSE substr(content, 1, 1200) END AS shown
+FROM given g JOIN cur ON cur.id = g.id LEFT JOIN live ON live.id = g.chunk_id""",
+    "g11_prompt_evaluation": _PROMPT + _SHOWN + _HELD + _evaluated("SELECT query_id, rank, id, NULL::BOOLEAN AS thin FROM given"),
+    "g10_recall_evaluation": _fused() + _HELD + _evaluated("SELECT query_id, rank, id, coverage < coverage_floor AS thin FROM top JOIN cov USING (query_id, id) JOIN floor USING (query_id)"),
+    "f1_recall_project": _fused("project") + "SELECT query_id, rank::INTEGER AS rank, id FROM top",
+    "g17_report": _JUDGED
+    + """SELECT printf('recall@5 %.1f%%  precision@1 %.1f%%  MRR %.3f  empty %.1f%%  true negatives %.1f%%', recall_5 * 100, precision_1 * 100, mrr, zero_result_rate * 100, true_negative_rate * 100) AS report
+FROM met WHERE threshold = -1e9""",
+    "t10_previews": f"""WITH {CUR}, f AS (
+  SELECT id, coalesce(list_filter(list_transform(string_split(coalesce(content, ''), chr(10)), lambda s: {_STRIP.format("s")}), lambda s: s <> '')[1], '') AS line,
+         trim(regexp_replace(coalesce(content, ''), '[\\s\\x{{a0}}]+', ' ', 'g')) AS c FROM cur),
+h AS (SELECT *, substr(c, 1, 120) AS head FROM f),
+k AS (SELECT *, CASE WHEN contains(head, ' ') THEN 121 - instr(reverse(head), ' ') - 1 ELSE -1 END AS space FROM h)
+SELECT id, CASE WHEN length(line) > 110 THEN substr(line, 1, 110) || '…' ELSE line END AS preview,
+       CASE WHEN length(c) <= 120 THEN c ELSE regexp_replace(CASE WHEN space > 72 THEN substr(head, 1, space) ELSE head END, '[ ,.;:]+$', '') || ' …' END AS clipped FROM k""",
+    "t15_classify": _CLASSIFY,
     "v1_knn": """WITH v AS (SELECT vec_id AS id, (embedding::DOUBLE[])::DOUBLE[64] AS e FROM embeddings),
 d AS (SELECT q.id AS qid, v.id, array_cosine_similarity(q.e, v.e) AS c FROM v q JOIN v ON q.id <> v.id WHERE q.id % 100 = 0),
 t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY c DESC, id)::INTEGER AS rank FROM d QUALIFY rank <= 10)
