@@ -3,9 +3,9 @@
 import pytest
 from oracle import differ
 
-from loreforge.plans import general, search, upkeep
+from loreforge.plans import general, search, upkeep, whole
 
-QUERIES = {n: (f, m.SQL.get(n)) for m in (general, search, upkeep) for n, f in m.QUERIES.items()}
+QUERIES = {n: (f, m.SQL.get(n)) for m in (general, search, upkeep, whole) for n, f in m.QUERIES.items()}
 #: Random by nature or rendered by Python: checked in their own tests, here only that they run.
 PLAIN = sorted(n for n, (_, sql) in QUERIES.items() if sql is None)
 
