@@ -174,14 +174,20 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Every document's compression band and its share of repeated runs of five words."""
-    return repeat.bands(_documents(spark, d), exact=None).withColumnRenamed("id", "doc_id")
+    """Every document's runs of five words and the share of them that are repeats."""
+    every = repeat.bands(_documents(spark, d), exact=None)
+    return every.select(F.col("id").alias("doc_id"), "runs", F.round("share", 9).alias("share"))
+
+
+def p10_bands(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's compression ratios and band; runs and share of those in the repetitive band."""
+    return repeat.bands(_documents(spark, d)).withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_pieces, p2_found, p2_links, p2_archive, p3_found, p3_nearest, p4_found, p4_groups, p4_documents,
-        p7_found, p7_languages, p7_segments, p8_containers, p8_fill, p9_found, p9_overlaps, p10_found, p10_shares,
+        p7_found, p7_languages, p7_segments, p8_containers, p8_fill, p9_found, p9_overlaps, p10_found, p10_shares, p10_bands,
     )
 }

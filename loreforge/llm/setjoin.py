@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreforge.llm import minhash, runs
+from loreforge.session import table
 
 RECALL = 0.998
 BASE = 2  # slots below the planned depth at which a neighbourhood starts
@@ -78,7 +79,10 @@ def _verify(threshold: float, levels: int):
                 sets[r] = frozenset(b.values[b.offsets[r] : b.offsets[r + 1]].tolist())
             return sets[r]
 
+        of = b.column("tables")
         for i, j in runs.lags(b, group=neighbourhoods(b.key, b.column("rest"), levels)):
+            apart = (of[i] | of[j]) == 3  # one of them in either table
+            i, j = i[apart], j[apart]
             for c in range(0, len(i), 50_000):
                 p, q = i[c : c + 50_000], j[c : c + 50_000]
                 some = np.minimum(n[p], n[q]) >= threshold * np.maximum(n[p], n[q]) - 1e-9
@@ -110,8 +114,11 @@ def classes(sets: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]:
     return members.select("class_id", "id"), members.filter(F.col("id") == F.col("class_id")).select("id", "items")
 
 
-def similar_pairs(reps: DataFrame, threshold: float, recall: float = RECALL) -> DataFrame:
-    """``(id_a, id_b, similarity)`` of distinct sets ``reps(id, items array<string>)`` with Jaccard similarity >= threshold."""
+def similar_pairs(reps: DataFrame, threshold: float, recall: float = RECALL, across: bool = False) -> DataFrame:
+    """``(id_a, id_b, similarity)`` of distinct sets ``reps(id, items array<string>)`` with Jaccard similarity >= threshold.
+
+    With ``across`` and a column ``tables`` of bits, only sets that share no table alone are compared.
+    """
     depth, trees = plan(reps.count(), threshold, recall)
     base = max(1, depth - BASE)
     levels = depth - base
@@ -132,11 +139,13 @@ def similar_pairs(reps: DataFrame, threshold: float, recall: float = RECALL) ->
                     rest = np.zeros(len(own), np.int64)
                     for k in range(base, depth):
                         rest = (rest << np.int64(SLOT)) | (own[:, k] >> np.uint32(32 - SLOT)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(minhash.mix(own[:, :base], t)), pa.array(rest), part.column("id"), payload], ["key", "rest", "id", "payload"])
+                    cols = [pa.array(minhash.mix(own[:, :base], t)), pa.array(rest), part.column("id"), payload, part.column("tables")]
+                    yield pa.RecordBatch.from_arrays(cols, ["key", "rest", "id", "payload", "tables"])
 
     def place(records: DataFrame) -> DataFrame:
-        hashed = records.select("id", F.transform("items", lambda t: F.xxhash64(t)).alias("h"))
-        return hashed.mapInArrow(plant, "key long, rest long, id long, payload array<int>")
+        tables = F.col("tables").cast("byte") if across else F.lit(3).cast("byte").alias("tables")
+        hashed = records.select("id", F.transform("items", lambda t: F.xxhash64(t)).alias("h"), tables)
+        return hashed.mapInArrow(plant, "key long, rest long, id long, payload array<int>, tables byte")
 
     near = runs.pairs_in_runs(reps, place, _verify(threshold, levels), order="rest", deeper=F.col("rest") if levels else None)
     x, y = reps.select(F.col("id").alias("id_a"), F.col("items").alias("x")), reps.select(F.col("id").alias("id_b"), F.col("items").alias("y"))
@@ -148,14 +157,21 @@ def similar_pairs(reps: DataFrame, threshold: float, recall: float = RECALL) ->
 def similar_between(left: DataFrame, right: DataFrame, threshold: float, least: int = 1, recall: float = RECALL) -> DataFrame:
     """``(id_left, id_right, similarity)`` between two tables ``(id, items)``; ids need not differ between them.
 
-    One forest holds both; pairs within one table are dropped after verification.
+    One forest holds the distinct sets of both, each with the tables it is in, and only pairs
+    that reach from one table into the other are compared.
     """
-    tagged = left.select((F.col("id") * 2).alias("id"), "items").unionByName(right.select((F.col("id") * 2 + 1).alias("id"), "items"))
-    members, reps = classes(tagged, least)
-    near = similar_pairs(reps, threshold, recall).unionByName(reps.select(F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("similarity")))
-    side = F.pmod("id", F.lit(2))
-    own = members.filter(side == 0).select(F.col("class_id").alias("l"), (F.col("id") / 2).cast("long").alias("id_left"))
-    other = members.filter(side == 1).select(F.col("class_id").alias("r"), ((F.col("id") - 1) / 2).cast("long").alias("id_right"))
+    of = lambda df, bit: df.filter(F.col("id").isNotNull()).select(F.struct(F.lit(bit).alias("of"), F.col("id").cast("long").alias("id")).alias("id"), "items")
+    members, reps = classes(of(left, 1).unionByName(of(right, 2)), least)
+    tables = members.groupBy("class_id").agg(F.bit_or(F.col("id.of")).alias("tables"))
+    # one number per distinct set: a hash of its name, which holds table and id
+    number = F.xxhash64(F.col("class_id.of"), F.col("class_id.id")).alias("n")
+    members = members.select(number, "id", "class_id")
+    sets = reps.withColumnRenamed("id", "class_id").join(tables, "class_id").select(number.alias("id"), "items", "tables")
+    sets = table(sets, "sets")
+    near = similar_pairs(sets, threshold, recall, across=True)
+    near = near.unionByName(sets.filter(F.col("tables") == 3).select(F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("similarity")))
+    own = members.filter(F.col("id.of") == 1).select(F.col("n").alias("l"), F.col("id.id").alias("id_left"))
+    other = members.filter(F.col("id.of") == 2).select(F.col("n").alias("r"), F.col("id.id").alias("id_right"))
     ways = near.select(F.col("id_a").alias("l"), F.col("id_b").alias("r"), "similarity").unionByName(
         near.filter("id_a <> id_b").select(F.col("id_b").alias("l"), F.col("id_a").alias("r"), "similarity")
     )

@@ -41,6 +41,20 @@ SELECT cls.id, class_id, copies, (SELECT count(*) FROM ends WHERE ends.id = cls.
 top AS (SELECT * FROM pairs WHERE c >= 0.9 QUALIFY row_number() OVER (PARTITION BY a ORDER BY least(round(c, 12), 1) DESC, b) <= 5)
 SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM top""",
     "p4_found": _SHINGLES + "SELECT id_a, id_b FROM near",
+    "p4_groups": _SHINGLES.replace("WITH cur", "WITH RECURSIVE cur", 1)
+    + """, ways AS (SELECT id_a AS a, id_b AS b FROM near UNION ALL SELECT id_b, id_a FROM near),
+reach(id, r) AS (SELECT id, id FROM cur UNION SELECT reach.id, ways.b FROM reach JOIN ways ON ways.a = reach.r)
+SELECT id, min(r) AS group_id FROM reach GROUP BY id""",
+    "p2_archive": _TAGS.split("shared AS")[0].rstrip().rstrip(",")
+    + """, old AS (SELECT id, arg_max(tags, archived_at) AS tags FROM lessons_archive GROUP BY id),
+oraw AS (SELECT id, unnest(CASE WHEN starts_with(trim(tags), '[') THEN from_json(trim(tags), '["VARCHAR"]') ELSE string_split(tags, ',') END) AS t FROM old WHERE tags IS NOT NULL),
+otag AS (SELECT DISTINCT id, lower(trim(t)) AS t FROM oraw WHERE trim(t) <> ''),
+osize AS (SELECT id, count(*) AS n FROM otag GROUP BY id HAVING count(*) >= 4),
+both_ AS (SELECT o.id AS archived_id, t.id AS lesson_id, count(*) AS n FROM otag o JOIN tag t ON t.t = o.t GROUP BY 1, 2)
+SELECT archived_id, lesson_id, round(b.n / (x.n + y.n - b.n), 6) AS similarity FROM both_ b JOIN osize x ON x.id = archived_id JOIN size y ON y.id = lesson_id WHERE b.n >= 0.6 * (x.n + y.n - b.n) - 1e-9""",
+    "p10_shares": rf"""WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4]) ELSE [] END AS g FROM w)
+SELECT doc_id, len(g) AS runs, CASE WHEN len(g) = 0 THEN 0 ELSE round(1 - len(list_distinct(g)) / len(g), 9) END::DOUBLE AS share FROM g""",
     "p10_found": rf"""WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
 g AS (SELECT doc_id, list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4]) AS g FROM w WHERE len(w) >= 44)
 SELECT doc_id FROM g WHERE 1 - len(list_distinct(g)) / len(g) >= 0.3 - 1e-12""",

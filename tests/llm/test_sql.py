@@ -11,6 +11,6 @@ def test_same_as_sql(spark, data, name):
     assert differ(queries.QUERIES[name](spark, data), queries.SQL[name], data) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL) - {"p2_archive"}))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
 def test_runs(spark, data, name):
     assert queries.QUERIES[name](spark, data).count() > 0
