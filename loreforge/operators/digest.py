@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreforge.functions.text import first_line, query_terms
+from loreforge.operators.joins import hot_key_join
 from loreforge.operators.retrieve import severity_boosts
 
 DIGEST, EXTRA = 12, 4
@@ -139,23 +140,13 @@ def project_listing(projects: DataFrame, limit: int = 200) -> DataFrame:
 
 
 def project_summary(lessons: DataFrame, projects: DataFrame) -> DataFrame:
-    """``(name, status, description, stack, lessons)``: every project of either table with its lessons, severity descending by name, newest first."""
-    mine = lessons.filter(F.col("project").isNotNull()).groupBy(F.col("project").alias("name"))
-    order = F.array_sort(F.collect_list(F.struct("severity", "created_at", "id")), lambda a, b: _descending(a, b))
-    mine = mine.agg(order.alias("l")).select("name", F.col("l.id").alias("lessons"))
-    index = projects.select("name", "status", "description", F.array_join("stack", ",").alias("stack"))
-    return index.join(mine, "name", "full").select("name", "status", "description", "stack", F.coalesce("lessons", F.array().cast("array<long>")).alias("lessons"))
-
-
-def _descending(a: Column, b: Column) -> Column:
-    out = F.lit(0)
-    for c, sign in (("id", 1), ("created_at", -1), ("severity", -1)):
-        x, y = a[c], b[c]
-        before, after = (-1, 1) if sign == 1 else (1, -1)
-        step = F.when(x.isNull() & y.isNull(), out).when(x.isNull(), 1).when(y.isNull(), -1).when(x < y, before).when(x > y, after)
-        out = step.otherwise(out)
-    return out
+    """``(name, status, description, stack, lesson, severity, created_at)``: every project of either table with its lessons, one row each.
 
-
-def patterns_of(patterns: DataFrame, project: str) -> DataFrame:
-    return patterns.filter(F.array_contains("projects", project))
+    A project without lessons has one row with a null lesson. Readers sort by name, severity
+    (descending by name), newest first; no project's lessons are ever gathered in one row.
+    """
+    mine = lessons.filter(F.col("project").isNotNull()).select(F.col("project").alias("name"), F.col("id").alias("lesson"), "severity", "created_at")
+    index = projects.select("name", "status", "description", F.array_join("stack", ",").alias("stack"))
+    return hot_key_join(mine, index.filter(F.col("name").isNotNull()), "name", "left").select("name", "status", "description", "stack", "lesson", "severity", "created_at").unionByName(
+        index.join(mine.select("name").distinct(), "name", "left_anti").select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("lesson", "long"), ("severity", "string"), ("created_at", "timestamp"))])
+    )

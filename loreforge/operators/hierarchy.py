@@ -166,6 +166,28 @@ def _chains(nodes: DataFrame) -> tuple[DataFrame, int]:
     return placed.withColumn("chain", F.coalesce("chain", "id")).withColumn("pos", F.coalesce("pos", F.lit(0))), total
 
 
+def _levels(front: DataFrame, todo: DataFrame, step, total: int) -> DataFrame:
+    """All chains, from those of the roots (``front``) down: ``step(below, upper)`` says what a chain takes from the one above it.
+
+    One round per level of chains, at most log2 of the nodes.
+    """
+    done = front
+    while True:
+        front, n = counted_table(step(todo, front), F.lit(True), "chains")
+        if not n:
+            return done
+        done = done.unionByName(front)
+
+
+def heavy_chains(links: DataFrame, node: str = "id", parent: str = "parent") -> tuple[DataFrame, DataFrame, int]:
+    """``(nodes, heads, number of nodes)``: every node with its chain and position, every chain with the node ``at`` which it hangs, and that node's place."""
+    nodes, total = _chains(resolve(links, node, parent))
+    nodes = table(nodes, "heavy")
+    heads = nodes.filter(F.col("pos") == 0).select("chain", F.col("tree_parent").alias("at"))
+    where = nodes.select("id", F.col("chain").alias("above"), F.col("pos").alias("above_pos"))
+    return nodes, table(_lookup(heads, "at", where, rows=total), "heads"), total
+
+
 def heavy_paths(links: DataFrame, node: str = "id", parent: str = "parent") -> tuple[DataFrame, DataFrame, int]:
     """``(nodes, chains, number of nodes)``: every node with its chain and position, every chain with its prefix.
 
@@ -174,28 +196,22 @@ def heavy_paths(links: DataFrame, node: str = "id", parent: str = "parent") -> t
     above, ``prefix`` the ids of those segments joined. A chain's arrays are no longer
     than the longest path, which is one value of the result anyway.
     """
-    nodes, total = _chains(resolve(links, node, parent))
-    nodes = table(nodes, "heavy")
+    nodes, heads, total = heavy_chains(links, node, parent)
     members = nodes.groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_m"))
-    members = members.select("chain", F.col("_m.id").alias("members"))
-    heads = nodes.filter(F.col("pos") == 0).select("chain", F.col("tree_parent").alias("at"))
-    where = nodes.select("id", F.col("chain").alias("above"), F.col("pos").alias("above_pos"))
-    todo = table(_lookup(heads, "at", where, rows=total).join(members, "chain"), "chains")
+    every = table(heads.join(members.select("chain", F.col("_m.id").alias("members")), "chain"), "chains")
     seg = "array<struct<chain:long,pos:long>>"
-    front = todo.filter(F.col("at").isNull()).select("chain", "members", F.array().cast(seg).alias("segments"), F.array().cast("array<long>").alias("prefix"))
-    done, todo = front, todo.filter(F.col("at").isNotNull())
-    while True:  # one round per level of chains, at most log2 of the nodes
+    front = every.filter(F.col("at").isNull()).select("chain", "members", F.array().cast(seg).alias("segments"), F.array().cast("array<long>").alias("prefix"))
+
+    def step(todo: DataFrame, front: DataFrame) -> DataFrame:
         upper = front.select(F.col("chain").alias("id"), F.col("members").alias("m"), F.col("segments").alias("s"), F.col("prefix").alias("p"))
-        below = _lookup(todo, "above", upper, "inner", rows=total).select(
+        return _lookup(todo, "above", upper, "inner", rows=total).select(
             "chain",
             "members",
             F.concat("s", F.array(F.struct(F.col("above").alias("chain"), F.col("above_pos").alias("pos")))).alias("segments"),
             F.concat("p", F.slice("m", F.lit(1), (F.col("above_pos") + 1).cast("int"))).alias("prefix"),
         )
-        front, n = counted_table(below, F.lit(True), "chains")
-        if not n:
-            return nodes, done, total
-        done = done.unionByName(front)
+
+    return nodes, _levels(front, every.filter(F.col("at").isNotNull()), step, total), total
 
 
 def hierarchy(links: DataFrame, node: str = "id", parent: str = "parent") -> DataFrame:
@@ -213,12 +229,20 @@ def hierarchy(links: DataFrame, node: str = "id", parent: str = "parent") -> Dat
 def located(links: DataFrame, node: str = "id", parent: str = "parent") -> DataFrame:
     """``(id, parent, root_id, depth, status)`` of every node, root and depth from its chain and position.
 
-    Only the length and the first id of a chain's prefix travel, never a path.
+    A chain takes from the one above it only two numbers, its root and how many nodes lie above
+    its head, so that no row grows with the depth of the forest.
     """
-    nodes, chains, total = heavy_paths(links, node, parent)
-    heads = chains.select("chain", F.size("prefix").cast("long").alias("above"), F.coalesce(F.get("prefix", F.lit(0)), "chain").alias("top"))
+    nodes, heads, total = heavy_chains(links, node, parent)
+    front = heads.filter(F.col("at").isNull()).select("chain", F.col("chain").alias("top"), F.lit(0).cast("long").alias("ahead"))
+
+    def step(todo: DataFrame, front: DataFrame) -> DataFrame:
+        upper = front.select(F.col("chain").alias("id"), F.col("top").alias("t"), F.col("ahead").alias("n"))
+        return _lookup(todo, "above", upper, "inner", rows=total).select("chain", F.col("t").alias("top"), (F.col("n") + F.col("above_pos") + 1).alias("ahead"))
+
+    chains = _levels(front, heads.filter(F.col("at").isNotNull()), step, total)
     root = F.when(F.col("status") == "cycle", F.col("root_id")).otherwise(F.col("top"))
-    return _lookup(nodes, "chain", heads.withColumnRenamed("chain", "id"), "inner", rows=total).select("id", "parent", root.alias("root_id"), (F.col("above") + F.col("pos")).alias("depth"), "status")
+    placed = _lookup(nodes, "chain", chains.withColumnRenamed("chain", "id"), "inner", rows=total)
+    return placed.select("id", "parent", root.alias("root_id"), (F.col("ahead") + F.col("pos")).alias("depth"), "status")
 
 
 def descendants(links: DataFrame, node: str = "id", parent: str = "parent") -> DataFrame:

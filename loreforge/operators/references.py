@@ -1,11 +1,15 @@
 """References to records that do not exist: signed counts per key, kept from change deltas.
 
-A *delta* is one row ``(target, key, refs, alive, archived, first_load)``: ``refs``
-and ``alive`` are +1/-1 for a reference or a record that came or went. Summing
-deltas per ``(target, key)`` gives the state; keys with positive references and no
-existence are the orphans. Deltas add up in any order, so the state can be kept
-from day to day (``apply_deltas``) without reading the tables again, and a key
-that a third of all rows refer to is one pre-aggregated row per task.
+A *delta* is one row ``(target, key, at, refs, alive, archived)``: ``refs``, ``alive`` and
+``archived`` are +1/-1 for a reference, a record or an archived record that came or went,
+``at`` is when the record was loaded (null for references and archived records). Summing
+deltas per ``(target, key, at)`` gives the state, from which rows with nothing but zeros are
+dropped. Everything can be taken back: a record that goes with -1 at its own load leaves no
+trace, and the first load of a key is the earliest that still counts.
+
+Deltas add up in any order, so the state can be kept from day to day (``apply_deltas``)
+without reading the tables again, and a key that a third of all rows refer to is one
+pre-aggregated row per task. Keys with positive references and no existence are the orphans.
 """
 
 from __future__ import annotations
@@ -15,51 +19,45 @@ from pyspark.sql import functions as F
 
 from loreforge.operators.joins import hot_key_join
 
-STATE = "target string, key long, refs long, alive long, archived long, first_load timestamp"
+COUNTS = ("refs", "alive", "archived")
+
+
+def _delta(rows: DataFrame, target, key: str, what: str, sign: int, at) -> DataFrame:
+    counts = [F.lit(sign if c == what else 0).cast("long").alias(c) for c in COUNTS]
+    return rows.filter(F.col(key).isNotNull()).select(target.alias("target"), F.col(key).cast("long").alias("key"), at.cast("timestamp").alias("at"), *counts)
 
 
 def reference_deltas(children: DataFrame, sign: int = 1) -> DataFrame:
     """Deltas of ``children(target, ref_id, ...)``; null references count for nothing."""
-    return children.filter(F.col("ref_id").isNotNull()).select(
-        "target",
-        F.col("ref_id").cast("long").alias("key"),
-        F.lit(sign).cast("long").alias("refs"),
-        F.lit(0).cast("long").alias("alive"),
-        F.lit(0).cast("long").alias("archived"),
-        F.lit(None).cast("timestamp").alias("first_load"),
-    )
+    return _delta(children, F.col("target"), "ref_id", "refs", sign, F.lit(None))
 
 
-def existence_deltas(records: DataFrame, target: str, key: str, sign: int = 1, first_load: str | None = None, archived: bool = False) -> DataFrame:
-    """Deltas of the records of ``target``; a record that went has ``sign`` -1, an archived one counts apart."""
-    zero, one = F.lit(0).cast("long"), F.lit(sign).cast("long")
-    return records.filter(F.col(key).isNotNull()).select(
-        F.lit(target).alias("target"),
-        F.col(key).cast("long").alias("key"),
-        zero.alias("refs"),
-        (zero if archived else one).alias("alive"),
-        (one if archived else zero).alias("archived"),
-        (F.col(first_load) if first_load else F.lit(None)).cast("timestamp").alias("first_load"),
-    )
+def existence_deltas(records: DataFrame, target: str, key: str, sign: int = 1, loaded: str | None = None, archived: bool = False) -> DataFrame:
+    """Deltas of the records of ``target``; a record that went has ``sign`` -1 at the load it came with, an archived one counts apart."""
+    return _delta(records, F.lit(target), key, "archived" if archived else "alive", sign, F.col(loaded) if loaded else F.lit(None))
 
 
 def apply_deltas(state: DataFrame | None, *deltas: DataFrame) -> DataFrame:
-    """The state after ``deltas``; keys whose counts are all zero leave it. ``state`` may be None."""
+    """The state after ``deltas``; rows whose counts are all zero leave it. ``state`` may be None."""
     parts = [d for d in (state, *deltas) if d is not None]
     rows = parts[0]
     for d in parts[1:]:
         rows = rows.unionByName(d)
-    sums = [F.sum(c).alias(c) for c in ("refs", "alive", "archived")]
-    return (
-        rows.groupBy("target", "key")
-        .agg(*sums, F.min("first_load").alias("first_load"))
-        .filter((F.col("refs") != 0) | (F.col("alive") != 0) | (F.col("archived") != 0))
-    )
+    some = F.lit(False)
+    for c in COUNTS:
+        some = some | (F.col(c) != 0)
+    return rows.groupBy("target", "key", "at").agg(*[F.sum(c).alias(c) for c in COUNTS]).filter(some)
+
+
+def key_facts(state: DataFrame) -> DataFrame:
+    """``(target, key, refs, alive, archived, first_load)``: what the state says of each key."""
+    first = F.min(F.when(F.col("alive") > 0, F.col("at")))
+    return state.groupBy("target", "key").agg(*[F.sum(c).alias(c) for c in COUNTS], first.alias("first_load"))
 
 
 def orphan_keys(state: DataFrame) -> DataFrame:
     """Keys with positive references and zero existence, ``archived`` or ``missing``."""
-    return state.filter((F.col("refs") > 0) & (F.col("alive") <= 0)).select(
+    return key_facts(state).filter((F.col("refs") > 0) & (F.col("alive") <= 0)).select(
         "target", "key", "refs", F.when(F.col("archived") > 0, "archived").otherwise("missing").alias("reason")
     )
 
@@ -72,7 +70,7 @@ def broken_references(children: DataFrame, state: DataFrame) -> DataFrame:
     A target with an unknown first load is not late.
     """
     key = F.concat_ws(":", "target", F.col("key").cast("string"))
-    have = state.select(key.alias("_k"), F.col("alive"), F.col("archived"), F.col("first_load").alias("_since"))
+    have = key_facts(state).select(key.alias("_k"), F.col("alive"), F.col("archived"), F.col("first_load").alias("_since"))
     refs = children.filter(F.col("ref_id").isNotNull()).withColumn("_k", F.concat_ws(":", "target", F.col("ref_id").cast("string")))
     reason = (
         F.when(F.coalesce(F.col("alive"), F.lit(0)) > 0, F.when(F.col("_since") > F.col("first_load"), "late"))
@@ -87,6 +85,24 @@ def broken_references(children: DataFrame, state: DataFrame) -> DataFrame:
     )
 
 
+def reference_changes(rows: DataFrame, period, now, key: str, value: str, target: str, order=None) -> list[DataFrame]:
+    """Deltas of one reference per key for the rows of ``rows`` whose ``period`` is ``now``.
+
+    The reference of a key is that of its greatest row by ``order``, or of its first row
+    (``loaded_at``) without one. Only keys with a row in this period are looked at: what they
+    referred to before is taken back, what they refer to now is added. Periods are in order, a
+    null period comes first.
+    """
+    least = F.struct(F.col("loaded_at").isNotNull() if order is not None else F.col("loaded_at").isNull(), F.col("loaded_at"))
+    pick = F.max_by(F.struct(F.col(value).alias("v")), order) if order is not None else F.min_by(F.struct(F.col(value).alias("v")), least)
+    here = rows.filter(period.eqNullSafe(F.lit(now)))
+    upto = rows.filter(period.isNull() if now is None else period.isNull() | (period <= F.lit(now)))
+    before = rows.filter(F.lit(False) if now is None else period.isNull() | (period < F.lit(now)))
+    keys = here.select(key).distinct()
+    ref = lambda df: df.join(keys, key, "left_semi").groupBy(key).agg(pick.alias("p")).select(F.lit(target).alias("target"), F.col("p.v").alias("ref_id"))
+    return [reference_deltas(ref(before), -1), reference_deltas(ref(upto))]
+
+
 def knowledge_store_references(lessons: DataFrame, archive: DataFrame, chunks: DataFrame, embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(children, state)`` of the three references of the store; each input may hold versions and repeats."""
     first = F.min("loaded_at").alias("first_load")
@@ -102,8 +118,8 @@ def knowledge_store_references(lessons: DataFrame, archive: DataFrame, chunks: D
     state = apply_deltas(
         None,
         reference_deltas(children),
-        existence_deltas(les, "lessons", "id", first_load="first_load"),
+        existence_deltas(les, "lessons", "id", loaded="first_load"),
         existence_deltas(archive, "lessons", "id", archived=True),
-        existence_deltas(chu, "lesson_chunks", "id", first_load="first_load"),
+        existence_deltas(chu, "lesson_chunks", "id", loaded="first_load"),
     )
     return children, state

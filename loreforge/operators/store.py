@@ -156,10 +156,18 @@ def export_rows(lessons: DataFrame) -> DataFrame:
     return lessons.select("id", F.to_json(F.struct(*cols, tag_array(F.col("tags")).alias("tags"))).alias("json"))
 
 
-def export_markdown(lessons: DataFrame) -> DataFrame:
-    """``(category, n, markdown)``: a heading with the count, then the lessons by id with their tags."""
+def export_markdown(lessons: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
+    """``(section, id, markdown)``: each category's heading with its count (a null id), and one piece per lesson with its tags.
+
+    ``patterns`` make a section of their own at the end. In the order of section and id, nulls
+    first, the pieces joined by blank lines are the document; no section is ever one row.
+    """
     tags = tag_array(F.col("tags"))
     body = F.concat(F.coalesce("content", F.lit("")), F.when(F.size(tags) > 0, F.concat(F.lit("\n\nTags: "), F.array_join(tags, ", "))).otherwise(""))
-    rows = lessons.select(F.coalesce("category", F.lit("")).alias("category"), "id", body.alias("b"))
-    per = rows.groupBy("category").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("id", "b"))).alias("l"))
-    return per.select("category", "n", F.concat(F.lit("## "), "category", F.lit(" ("), F.col("n").cast("string"), F.lit(")\n\n"), F.array_join("l.b", "\n\n---\n\n")).alias("markdown"))
+    rows = lessons.select(F.coalesce("category", F.lit("")).alias("section"), "id", F.concat(body, F.lit("\n\n---")).alias("markdown"))
+    if patterns is not None:
+        told = F.concat(F.lit("### "), F.col("name"), F.lit("\n\n"), F.coalesce("description", F.lit("")))
+        rows = rows.unionByName(patterns.select(F.lit("~patterns").alias("section"), "id", told.alias("markdown")))
+    heads = rows.groupBy("section").agg(F.count("*").alias("n"))
+    heading = F.concat(F.lit("## "), "section", F.lit(" ("), F.col("n").cast("string"), F.lit(")"))
+    return heads.select("section", F.lit(None).cast("long").alias("id"), heading.alias("markdown")).unionByName(rows)

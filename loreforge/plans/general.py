@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loreforge.operators import hierarchy as tree
 from loreforge.operators import references as ref
+from loreforge.session import table
 from loreforge.tables import current, read
 
 
@@ -41,7 +42,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
-    """Broken references per table, reason and month."""
+    """Broken references per table, reason and quarter."""
     return p6_found(spark, d).groupBy("child_table", "reason", "period").agg(F.count("*").alias("n"), F.countDistinct("ref_id").alias("targets"))
 
 
@@ -50,7 +51,33 @@ def p6_orphan_keys(spark: SparkSession, d: str) -> DataFrame:
     return ref.orphan_keys(_references(spark, d)[1]).select(F.col("target").alias("target_table"), F.col("key").alias("ref_id"), "refs", "reason")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_hierarchy, p5_descendants, p6_found, p6_report, p6_orphan_keys)}
+def p6_from_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """The same keys from a state kept quarter by quarter, each quarter's deltas only.
+
+    A quarter brings the rows loaded in it, in every version and repeat. The quarter after, the
+    lessons among them of severity tip go again, and one more quarter later they come back: in the end the state is that of the whole tables. A lesson's reference is that
+    of its newest version so far, the one before being taken back.
+    """
+    les, chu, emb = (read(spark, d, t) for t in ("lessons", "lesson_chunks", "chunk_embeddings"))
+    quarter = F.trunc("loaded_at", "quarter")
+    seen = les.select(quarter.alias("q")).union(chu.select(quarter)).union(emb.select(quarter)).distinct()
+    quarters = sorted((r["q"] for r in seen.collect()), key=lambda q: (q is not None, q))  # four a year
+    state = ref.apply_deltas(None, ref.existence_deltas(read(spark, d, "lessons_archive"), "lessons", "id", archived=True))
+    for k, q in enumerate([*quarters, None, None]):
+        deltas = []
+        if k < len(quarters):
+            for df, key, value, target, order in ((les, "id", "repeats", "lessons", F.struct("updated_at", "loaded_at")), (chu, "id", "lesson_id", "lessons", None), (emb, "chunk_id", "chunk_id", "lesson_chunks", None)):
+                deltas += ref.reference_changes(df, quarter, q, key, value, target, order)
+            deltas += [ref.existence_deltas(t.filter(quarter.eqNullSafe(F.lit(q))), name, "id", loaded="loaded_at") for t, name in ((les, "lessons"), (chu, "lesson_chunks"))]
+        for back, sign in ((1, -1), (2, 1)):
+            if 0 <= k - back < len(quarters):
+                moved = les.filter(quarter.eqNullSafe(F.lit(quarters[k - back])) & (F.col("severity") == "tip"))
+                deltas.append(ref.existence_deltas(moved, "lessons", "id", sign=sign, loaded="loaded_at"))
+        state = table(ref.apply_deltas(state, *deltas), "references")
+    return ref.orphan_keys(state).select(F.col("target").alias("target_table"), F.col("key").alias("ref_id"), "refs", "reason")
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_hierarchy, p5_descendants, p6_found, p6_report, p6_orphan_keys, p6_from_deltas)}
 
 _CUR = "cur AS (SELECT id, repeats FROM (SELECT id, repeats, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, loaded_at DESC) AS rn FROM lessons) WHERE rn = 1)"
 _WALK = f"""WITH RECURSIVE {_CUR},
@@ -99,5 +126,6 @@ FROM solved s LEFT JOIN (SELECT ancestor_id, count(*) AS n FROM below GROUP BY 1
     "p5_descendants": _WALK + "SELECT ancestor_id, descendant_id, distance::BIGINT AS distance FROM below",
     "p6_found": _REFS + "SELECT child_table, child_id, ref_id, reason, period FROM found WHERE reason IS NOT NULL",
     "p6_report": _REFS + "SELECT child_table, reason, period, count(*) AS n, count(DISTINCT ref_id) AS targets FROM found WHERE reason IS NOT NULL GROUP BY ALL",
+    "p6_from_deltas": _REFS + "SELECT target AS target_table, ref_id, count(*) AS refs, reason FROM found WHERE reason IN ('missing', 'archived') GROUP BY ALL",
     "p6_orphan_keys": _REFS + "SELECT target AS target_table, ref_id, count(*) AS refs, reason FROM found WHERE reason IN ('missing', 'archived') GROUP BY ALL",
 }

@@ -227,11 +227,11 @@ def v1_knn(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w8_suggest(spark: SparkSession, d: str) -> DataFrame:
-    """For the stated lessons, those whose id is divisible by 100, the lesson most like each."""
+    """For the lessons of the stated passages, those whose id is divisible by 100, the lesson most like each."""
     v = read(spark, d, "chunks_vec").filter(F.size("embedding") == 64).groupBy("chunk_id").agg(F.min("embedding").alias("v"))
     rows = passages(spark, d).withColumnRenamed("id", "chunk_id").join(v, "chunk_id").select("chunk_id", "lesson_id", "text", "v")
     rows = table(rows, "passages")
-    out = recurrence.suggest(rows.filter(F.col("lesson_id") % 100 == 0), rows)
+    out = recurrence.suggest(rows.filter(F.col("chunk_id") % 100 == 0), rows)
     return out.select("lesson_id", "of_lesson", F.round("similarity", 5).alias("similarity"))
 
 
@@ -556,7 +556,7 @@ SELECT qid, rank, id, round(c, 5) AS similarity FROM t""",
     "w8_suggest": f"""WITH {PAS.split("," + chr(10) + "live")[0]},
 v AS (SELECT chunk_id, (min(embedding)::DOUBLE[])::DOUBLE[64] AS e FROM chunks_vec WHERE len(embedding) = 64 GROUP BY 1),
 p AS (SELECT pas.id, lesson_id, e FROM pas JOIN v ON v.chunk_id = pas.id WHERE length("text") >= 250 AND list_max(list_transform(e::DOUBLE[], lambda x: abs(x))) > 0),
-d AS (SELECT q.id AS qid, q.lesson_id, p.lesson_id AS of_lesson, p.id, round(array_cosine_similarity(q.e, p.e), 8) AS c FROM p q JOIN p ON p.lesson_id <> q.lesson_id WHERE q.lesson_id % 100 = 0),
+d AS (SELECT q.id AS qid, q.lesson_id, p.lesson_id AS of_lesson, p.id, round(array_cosine_similarity(q.e, p.e), 8) AS c FROM p q JOIN p ON p.lesson_id <> q.lesson_id WHERE q.lesson_id IN (SELECT lesson_id FROM pas JOIN v ON v.chunk_id = pas.id WHERE pas.id % 100 = 0)),
 k AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY qid ORDER BY c DESC, id) <= 12),
 b AS (SELECT lesson_id, of_lesson, max(c) AS c FROM k WHERE c >= 0.68 GROUP BY 1, 2)
 SELECT lesson_id, of_lesson, round(c, 5) AS similarity FROM b QUALIFY row_number() OVER (PARTITION BY lesson_id ORDER BY c DESC, of_lesson) = 1""",

@@ -120,9 +120,8 @@ def g13_health(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g16_projects(spark: SparkSession, d: str) -> DataFrame:
-    """Every project with its index entry and its lessons in order."""
-    out = digest.project_summary(lessons(spark, d), read(spark, d, "project_index"))
-    return out.withColumn("lessons", F.array_join(F.col("lessons").cast("array<string>"), ","))
+    """Every project with its index entry and its lessons."""
+    return digest.project_summary(lessons(spark, d), read(spark, d, "project_index"))
 
 
 def w5_digest(spark: SparkSession, d: str) -> DataFrame:
@@ -263,8 +262,9 @@ UNION ALL SELECT id, arg_max(content, archived_at), coalesce(arg_max(scope, arch
     "k16_rescope": f"WITH {CUR} SELECT id, CASE WHEN id BETWEEN 1 AND 20 AND coalesce(scope, 'project') <> 'global' THEN 'global' ELSE scope END AS scope FROM cur",
     "k17_shown": f"""WITH {CUR}, ev AS (SELECT user_id AS id, count(*) AS n, max(ts) AS "at" FROM events WHERE event_type = 'view' GROUP BY 1)
 SELECT cur.id, coalesce(shown_count, 0) + coalesce(n, 0) AS shown_count, greatest(last_shown_at, "at") AS last_shown_at FROM cur LEFT JOIN ev USING (id)""",
-    "k20_markdown": rf"""WITH {CUR}, b AS (SELECT coalesce(category, '') AS category, id, {_TAG_LIST} AS t, coalesce(content, '') AS c FROM cur)
-SELECT category, count(*) AS n, '## ' || category || ' (' || count(*) || E')\n\n' || string_agg(c || CASE WHEN len(t) > 0 THEN E'\n\nTags: ' || array_to_string(t, ', ') ELSE '' END, E'\n\n---\n\n' ORDER BY id) AS markdown FROM b GROUP BY category""",
+    "k20_markdown": rf"""WITH {CUR}, b AS (SELECT coalesce(category, '') AS section, id, {_TAG_LIST} AS t, coalesce(content, '') AS c FROM cur)
+SELECT section, id, c || CASE WHEN len(t) > 0 THEN E'\n\nTags: ' || array_to_string(t, ', ') ELSE '' END || E'\n\n---' AS markdown FROM b
+UNION ALL SELECT section, NULL, '## ' || section || ' (' || count(*) || ')' FROM b GROUP BY section""",
     "k21_import": f"""WITH {CUR} SELECT arg_min(id, (created_at, id)) AS id, content FROM lessons_archive
 WHERE content IS NOT NULL AND content NOT IN (SELECT content FROM cur WHERE content IS NOT NULL) GROUP BY content""",
     "k22_upsert": f"""WITH {CUR}, new AS (SELECT source, arg_max(content, (updated_at, id)) AS content FROM lessons_archive WHERE source IS NOT NULL GROUP BY 1),
@@ -286,8 +286,8 @@ SELECT (SELECT count(*) FROM cur) AS lessons, (SELECT count(*) FROM cur WHERE sc
   (SELECT count(*) FROM pas WHERE lesson_id NOT IN (SELECT id FROM cur)) AS orphan_passages, (SELECT count(*) FROM e WHERE id IN (SELECT id FROM pas)) AS embedded_passages,
   (SELECT count(*) FROM e WHERE id NOT IN (SELECT id FROM pas)) AS orphan_vectors, (SELECT count(*) FROM pas WHERE id NOT IN (SELECT id FROM e)) AS pending_passages,
   (SELECT count(DISTINCT lesson_id) FROM pas WHERE id IN (SELECT id FROM e)) AS embedded_lessons""",
-    "g16_projects": f"""WITH {CUR}, m AS (SELECT project AS name, string_agg(id::VARCHAR, ',' ORDER BY severity DESC NULLS LAST, created_at DESC NULLS LAST, id) AS l FROM cur WHERE project IS NOT NULL GROUP BY 1)
-SELECT coalesce(p.name, m.name) AS name, status, description, array_to_string(stack, ',') AS stack, coalesce(l, '') AS lessons FROM project_index p FULL JOIN m ON m.name = p.name""",
+    "g16_projects": f"""WITH {CUR} SELECT coalesce(p.name, c.project) AS name, status, description, array_to_string(stack, ',') AS stack, c.id AS lesson, severity, c.created_at
+FROM (SELECT * FROM cur WHERE project IS NOT NULL) c FULL JOIN project_index p ON p.name = c.project""",
     "w5_digest": f"""WITH {CUR}, ask AS (SELECT DISTINCT name AS asked FROM project_index),
 own AS (SELECT asked, id, content, 0 AS stage, row_number() OVER (PARTITION BY asked ORDER BY {_RANK}, updated_at DESC, id) AS n FROM ask JOIN cur ON starts_with(asked, project) QUALIFY n <= 12),
 wide AS (SELECT asked, id, content, 1 AS stage, row_number() OVER (PARTITION BY asked ORDER BY CASE WHEN severity = 'critical' THEN 0 ELSE 1 END, updated_at DESC, id) AS n

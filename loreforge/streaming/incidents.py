@@ -39,21 +39,25 @@ def repeated_failures(events: DataFrame, week_ms: int = WEEK_MS) -> DataFrame:
 
 
 def never_repeat(offers: DataFrame, week_ms: int = WEEK_MS) -> DataFrame:
-    """``(session_id, id, at)``: the offers of a stream ``(session_id string, id long, at timestamp)`` that a session has not had before."""
+    """``(session_id, id, at)``: the offers of a stream ``(session_id string, id long, at timestamp)`` that a session has not had before.
+
+    State is one flag per session and id, however many a session is offered, dropped a week (of
+    the watermark) after its last offer.
+    """
 
     def fresh(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        seen = set(state.get[0]) if state.exists else set()
-        rows = pd.concat(list(frames)).sort_values(["at", "id"], kind="stable").drop_duplicates("id")
-        new = rows[~rows["id"].isin(seen)]
-        state.update(([*seen, *new["id"].tolist()],))
-        state.setTimeoutTimestamp(max(int(rows["at"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + week_ms)
-        yield pd.DataFrame({"session_id": key[0], "id": new["id"], "at": new["at"]})
-
-    keyed = offers.withWatermark("at", "1 hour").groupBy("session_id")
-    return keyed.applyInPandasWithState(fresh, "session_id string, id long, at timestamp", "seen array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+        times = pd.concat([f["at"] for f in frames])
+        known = state.exists
+        state.update((True,))
+        state.setTimeoutTimestamp(max(int(times.max().timestamp() * 1000), state.getCurrentWatermarkMs()) + week_ms)
+        if not known:
+            yield pd.DataFrame({"session_id": [key[0]], "id": [key[1]], "at": [times.min()]})
+
+    keyed = offers.withWatermark("at", "1 hour").groupBy("session_id", "id")
+    return keyed.applyInPandasWithState(fresh, "session_id string, id long, at timestamp", "seen boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def session_activity(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:

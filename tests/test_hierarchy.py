@@ -85,6 +85,6 @@ def test_located_takes_root_and_depth_from_chains(spark, data, monkeypatch):
     links = graph(5)
     want = {i: w[:3] for i, w in brute(links).items()}
     assert {r["id"]: (r["root_id"], r["depth"], r["status"]) for r in tree.located(spark.createDataFrame(list(links.items()), SCHEMA)).collect()} == want
-    called, paths = [], tree.heavy_paths
-    monkeypatch.setattr(tree, "heavy_paths", lambda *a: called.append(a) or paths(*a))
+    called, paths = [], tree.heavy_chains
+    monkeypatch.setattr(tree, "heavy_chains", lambda *a: called.append(a) or paths(*a))
     assert general.p5_found(spark, data).count() > 0 and called

@@ -44,6 +44,17 @@ def test_deltas_add_up_in_any_order(spark):
     assert ref.apply_deltas(later, ref.existence_deltas(recs.filter("id = 3"), "t", "id", sign=-1)).filter("key = 3").count() == 0
 
 
+def test_a_load_can_be_taken_back(spark):
+    loads = spark.createDataFrame([(1, dt(2024, 1, 1)), (1, dt(2024, 3, 1)), (2, None)], "id long, loaded_at timestamp")
+    state = ref.apply_deltas(None, ref.existence_deltas(loads, "t", "id", loaded="loaded_at"))
+    first = lambda s: {r["key"]: r["first_load"] for r in ref.key_facts(s).collect()}
+    assert first(state) == {1: dt(2024, 1, 1), 2: None}
+    state = ref.apply_deltas(state, ref.existence_deltas(loads.filter("loaded_at < timestamp'2024-02-01'"), "t", "id", sign=-1, loaded="loaded_at"))
+    assert first(state) == {1: dt(2024, 3, 1), 2: None}
+    kids = spark.createDataFrame([("c", 9, "t", 1, dt(2024, 2, 1))], "child_table string, child_id long, target string, ref_id long, first_load timestamp")
+    assert [r["reason"] for r in ref.broken_references(kids, state).collect()] == ["late"]
+
+
 def test_empty_tables(spark):
     empty = [df.limit(0) for df in tables(spark)]
     assert ref.broken_references(*ref.knowledge_store_references(*empty)).count() == 0
