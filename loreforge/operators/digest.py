@@ -139,6 +139,12 @@ def project_listing(projects: DataFrame, limit: int = 200) -> DataFrame:
     return projects.orderBy("name").limit(limit).select("name", uri.alias("uri"))
 
 
+def named_by(uri: Column) -> Column:
+    """The id or name that an address of a listing stands for; null for any other text."""
+    tail = F.regexp_extract(uri, "^(?:lesson|project)://(.+)$", 1)
+    return F.when(tail != "", F.url_decode(F.replace(tail, F.lit("+"), F.lit("%2B"))))
+
+
 def project_summary(lessons: DataFrame, projects: DataFrame) -> DataFrame:
     """``(name, status, description, stack, lesson, severity, created_at)``: every project of either table with its lessons, one row each.
 

@@ -115,6 +115,22 @@ def incident_digest(rows: DataFrame, most: int = 6, clip: int = 140) -> DataFram
     return counts.join(few, "session_id").select("session_id", "n", F.concat(F.array_join("l.line", "\n"), more).alias("digest"))
 
 
+def session_baselines(sessions: DataFrame, lessons: DataFrame) -> DataFrame:
+    """``sessions(session_id, started)`` with ``lessons_before``: how many lessons had been created when each began.
+
+    Days before the session's own are counted as running totals of one row per day; only within
+    its own day does a session meet single lessons, by an equi-join. A null start gives null.
+    """
+    made = lessons.filter(F.col("created_at").isNotNull()).select(F.to_date("created_at").alias("day"), "created_at")
+    days = made.groupBy("day").agg(F.count("*").alias("n")).select("day", "n", F.lit(0).alias("asked"))
+    asked = sessions.select(F.to_date("started").alias("day")).filter(F.col("day").isNotNull()).distinct().select("day", F.lit(0).cast("long").alias("n"), F.lit(1).alias("asked"))
+    per = days.unionByName(asked).groupBy("day").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
+    before = per.withColumn("earlier", F.sum("n").over(Window.orderBy("day")) - F.col("n")).filter("asked = 1").select("day", "earlier")  # one row per day
+    own = sessions.withColumn("day", F.to_date("started")).join(before, "day", "left")
+    same = sessions.withColumn("day", F.to_date("started")).join(made, "day").filter(F.col("created_at") <= F.col("started")).groupBy("session_id").agg(F.count("*").alias("today"))
+    return own.join(same, "session_id", "left").withColumn("lessons_before", F.col("earlier") + F.when(F.col("earlier").isNotNull(), F.coalesce("today", F.lit(0)))).drop("day", "earlier", "today")
+
+
 def stop_gate(sessions: DataFrame, least_seconds: int = 180) -> DataFrame:
     """``(session_id, ask)`` of ``sessions(session_id, continuing, asked, started, stopped, lessons_before, lessons_now)``.
 

@@ -200,6 +200,7 @@ def browse(lessons: DataFrame, limit: int = 10) -> DataFrame:
 # --- the prompt's own ranking: additive boosts and an enforced floor of evidence ---
 
 HOOK_DEPTH, HOOK_HEAD, HOOK_SHOWN, PREFIX_PENALTY = 60, 8, 3, 2.0
+RENDERED = 3_000
 HOOK_WEIGHTS = {"lexical": 1.5, "vector": 2.0}
 
 
@@ -258,3 +259,17 @@ def rendered(top: DataFrame, store: Store, cap: int = 1_200) -> DataFrame:
     rows = top.join(store.lessons.select("id", "content"), "id").join(texts, "chunk_id", "left")
     shown = F.when((F.length("content") > cap) & F.col("passage").isNotNull(), F.col("passage")).otherwise(F.substring("content", 1, cap))
     return rows.withColumn("shown", shown).drop("content", "passage")
+
+
+def prompt_text(shown: DataFrame, most: int = RENDERED) -> DataFrame:
+    """``(query_id, text)``: what is shown of ``rendered`` answers, by rank under a heading each, ``most`` characters in all."""
+    parts = F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("### #"), F.col("id").cast("string"), F.lit("\n"), F.coalesce("shown", F.lit(""))).alias("t"))))
+    return shown.groupBy("query_id").agg(parts.alias("p")).select("query_id", F.substring(F.array_join("p.t", "\n\n"), 1, most).alias("text"))
+
+
+def fail_open(make, empty: DataFrame) -> DataFrame:
+    """What ``make()`` gives, written out; the ``empty`` frame where anything fails, as an answer to a prompt may be missing but must not be in the way."""
+    try:
+        return table(make(), "answer")
+    except Exception:  # noqa: BLE001 - whatever it is, the prompt goes on
+        return empty

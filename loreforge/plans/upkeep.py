@@ -255,6 +255,8 @@ SQL = {
     "k6_without_passages": f"WITH {CUR} SELECT id FROM cur WHERE id NOT IN (SELECT lesson_id FROM lesson_chunks)",
     "k10_orphan_vectors": "SELECT DISTINCT chunk_id AS id FROM chunks_vec WHERE chunk_id NOT IN (SELECT id FROM lesson_chunks)",
     "k12_pending": f"WITH {_P} SELECT id, lesson_id FROM pas WHERE id NOT IN (SELECT chunk_id FROM chunks_vec WHERE embedding IS NOT NULL)",
+    "k12_backfill": f"""WITH {_P}, todo AS (SELECT * FROM pas WHERE id NOT IN (SELECT chunk_id FROM chunks_vec WHERE len(embedding) = 64))
+SELECT count(*) FILTER (regexp_matches(coalesce("text", ''), '\\S')) AS embedded, count(*) FILTER (NOT regexp_matches(coalesce("text", ''), '\\S')) AS failed, count(*) FILTER (NOT regexp_matches(coalesce("text", ''), '\\S')) AS remaining FROM todo""",
     "k14_forget": f"""WITH {CUR} SELECT 'lessons' AS place, id FROM cur WHERE severity IS NULL OR severity <> 'tip'
 UNION ALL SELECT 'archive', id FROM cur WHERE severity = 'tip' UNION ALL SELECT 'archive', id FROM lessons_archive""",
     "k15_restore": f"""WITH {CUR} SELECT id, content, scope FROM cur

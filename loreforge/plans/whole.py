@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loreforge.operators import digest, embed, events, knowledge, store
 from loreforge.operators.index import build
 from loreforge.operators.retrieve import FIELDS
+from loreforge.sources.files import _LESSON
 from loreforge.plans.search import CUR, PAS, _keeper, _occ, lessons, passages
 from loreforge.plans.upkeep import _RANK, _TAG_LIST
 from loreforge.streaming import incidents as stream
@@ -123,11 +124,30 @@ def e7_stop_gate(spark: SparkSession, d: str) -> DataFrame:
     return events.stop_gate(rows, least_seconds=1_900)
 
 
+def e6_baselines(spark: SparkSession, d: str) -> DataFrame:
+    """How many lessons there were when each session began."""
+    s = stream.session_activity(read(spark, d, "events"))
+    s = s.select(F.concat_ws("@", F.col("user_id").cast("string"), F.unix_timestamp("start").cast("string")).alias("session_id"), F.col("start").alias("started"))
+    return events.session_baselines(s, lessons(spark, d)).select("session_id", "lessons_before")
+
+
+def s17_named(spark: SparkSession, d: str) -> DataFrame:
+    """The addresses of listed projects read back into names."""
+    listed = digest.project_listing(read(spark, d, "project_index"))
+    return listed.select("name", digest.named_by(F.col("uri")).alias("named"))
+
+
+def k19_read_back(spark: SparkSession, d: str) -> DataFrame:
+    """Lessons after a round trip through the lines of an export."""
+    rows = store.export_rows(lessons(spark, d)).select(F.from_json("json", _LESSON).alias("l")).select("l.*")
+    return rows.select("id", "category", "content", "project", "severity", "scope", "repeats", F.array_join("tags", ",").alias("tags"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         s6_lookup, k1_learn, k1_index, k14_forgotten, k15_restored, k8_vectors, k13_reindex, k18_patterns, g15_context, t14_derived,
-        w6_digest_named, p14_problems, e7_stop_gate,
+        w6_digest_named, p14_problems, e7_stop_gate, e6_baselines, s17_named, k19_read_back,
     )
 }
 
@@ -184,6 +204,13 @@ SELECT asked AS project, row_number() OVER (PARTITION BY asked ORDER BY stage, n
   WHEN category IS NULL OR category NOT IN ({", ".join(f"'{c}'" for c in store.CATEGORIES)}) THEN 'unknown category'
   WHEN severity IS NOT NULL AND severity NOT IN ({", ".join(f"'{c}'" for c in store.SEVERITIES)}) THEN 'unknown severity' WHEN length(project) > 200 THEN 'project too long' END AS problem FROM cur)
 SELECT * FROM w WHERE problem IS NOT NULL""",
+    "e6_baselines": f"""WITH {CUR}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS cut FROM events),
+s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
+one AS (SELECT user_id || '@' || floor(epoch(min(ts)))::BIGINT AS session_id, min(ts) AS a FROM s GROUP BY user_id, k),
+born AS (SELECT created_at AS at, row_number() OVER (ORDER BY created_at) AS n FROM cur WHERE created_at IS NOT NULL QUALIFY lead(created_at) OVER (ORDER BY created_at) IS DISTINCT FROM created_at)
+SELECT session_id, coalesce(n, 0) AS lessons_before FROM one ASOF LEFT JOIN born ON a >= born.at""",
+    "s17_named": "SELECT name, name AS named FROM project_index ORDER BY name LIMIT 200",
+    "k19_read_back": f"WITH {CUR} SELECT id, category, content, project, severity, scope, repeats, coalesce(array_to_string({_TAG_LIST}, ','), '') AS tags FROM cur",
     "e7_stop_gate": """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS cut FROM events),
 s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
 one AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 30 MINUTE AS b, count(*) FILTER (event_type = 'error') AS errors FROM s GROUP BY user_id, k)

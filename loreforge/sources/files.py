@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 MAX_FILE = 1 << 20
+MAX_EXPORT = 64 << 20
 VERSION = 1
 _LESSON = StructType(
     [
@@ -31,11 +32,19 @@ def confined(path: str, folder: str) -> str | None:
     return target if inside and os.path.isdir(os.path.dirname(target)) and Path(target).suffix not in (".db", ".db-wal", ".db-shm") else None
 
 
-def read_export(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_export(spark: SparkSession, path: str, folder: str | None = None, most: int = MAX_EXPORT) -> tuple[DataFrame, DataFrame]:
     """``(lessons, patterns)`` of an export document; a broken or foreign file gives no rows.
 
-    Exports too large for one document are read as JSON lines of lessons (``read_lines``).
+    With ``folder`` a path that leaves it is an error, as is a document of more than ``most``
+    bytes: one document is one row. Larger exports are JSON lines of lessons (``read_lines``).
     """
+    if folder is not None:
+        inside = confined(path, folder)
+        if inside is None:
+            raise ValueError("the file is not one inside the folder")
+        path = inside
+    if os.path.isfile(path) and os.path.getsize(path) > most:
+        raise ValueError(f"a document of more than {most} bytes must come as JSON lines")
     doc = spark.read.schema(_EXPORT).option("multiLine", True).json(path).filter(F.col("export_version") == VERSION)
     lessons = doc.select(F.explode("lessons").alias("l")).select("l.*").filter(F.col("content").isNotNull())
     return lessons, doc.select(F.explode("patterns").alias("p")).select("p.*")
@@ -84,6 +93,28 @@ def parse_notes(files: DataFrame) -> DataFrame:
     return rows.select("source", F.coalesce(field("name"), F.lit("")).alias("name"), F.coalesce(field("description"), F.lit("")).alias("description"), F.coalesce(field("type"), F.lit("")).alias("type"), body.alias("body"))
 
 
+_CORPUS = "lessons array<struct<key:string,content:string,category:string,project:string,severity:string,scope:string>>"
+_QUERIES = "queries array<struct<query:string,relevant:array<string>,project:string,category:string,requiresSemantic:boolean>>"
+
+
+def read_judged(spark: SparkSession, corpus: str, queries: str) -> tuple[DataFrame, DataFrame]:
+    """``(documents, judged)`` of a judged corpus in two JSON documents.
+
+    ``documents(id, key, content, category, project, severity, scope)`` are numbered in their
+    order; ``judged(query_id, query, project, category, semantic, relevant)`` has the ids of the
+    relevant documents. A query that names an unknown key is an error.
+    """
+    one = spark.read.schema(_CORPUS).option("multiLine", True).json(corpus).select(F.posexplode("lessons").alias("n", "l"))
+    docs = one.select((F.col("n") + 1).cast("long").alias("id"), "l.*")
+    rows = spark.read.schema(_QUERIES).option("multiLine", True).json(queries).select(F.posexplode("queries").alias("n", "q"))
+    rows = rows.select((F.col("n") + 1).cast("long").alias("query_id"), "q.query", "q.project", "q.category", F.coalesce("q.requiresSemantic", F.lit(False)).alias("semantic"), "q.relevant")
+    known = rows.select("query_id", F.explode("relevant").alias("key")).join(docs.select("key", "id"), "key", "left")
+    ids = F.when(F.col("id").isNull(), F.raise_error(F.concat(F.lit("no document with the key "), "key")).cast("long")).otherwise(F.col("id"))
+    known = known.select("query_id", ids.alias("id")).groupBy("query_id").agg(F.array_sort(F.collect_set("id")).alias("relevant"))
+    out = rows.drop("relevant").join(known, "query_id", "left")
+    return docs, out.withColumn("relevant", F.coalesce("relevant", F.array().cast("array<long>")))
+
+
 def read_incidents(spark: SparkSession, path: str) -> DataFrame:
     """Incidents of JSON lines; broken lines are left out."""
     schema = "ts double, kind string, label string, cmd string, meaning string, count long, detail string"

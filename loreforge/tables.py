@@ -52,3 +52,35 @@ def tag_array(tags: Column) -> Column:
     clean = F.transform(raw, lambda t: F.lower(F.regexp_replace(t, r"(?U)^\s+|\s+$", "")))
     kept = F.filter(clean, lambda t: t.isNotNull() & (t != ""))
     return F.coalesce(F.array_sort(F.array_distinct(kept)), F.array().cast(TAG_JSON))
+
+
+#: The tables of a store, as they are created; older ones are brought up to date by ``store.migrate``.
+STORE = {
+    "lessons": "id long, category string, tags string, content string, source string, project string, severity string, created_at timestamp, updated_at timestamp, "
+    "shown_count long, last_shown_at timestamp, scope string, repeats long",
+    "lessons_archive": "id long, category string, tags string, content string, source string, project string, severity string, created_at timestamp, updated_at timestamp, "
+    "shown_count long, last_shown_at timestamp, scope string, repeats long, archived_at timestamp, reason string",
+    "passages": "id long, lesson_id long, ord int, text string",
+    "vectors": "id long, v array<float>, model string",
+    "patterns": "id long, name string, pattern_type string, description string, example string, projects array<string>",
+    "projects": "name string, path string, stack array<string>, status string, description string, last_scanned timestamp",
+}
+
+
+def open_store(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Every table of the store under ``folder``; one that is not there yet is empty."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    out = {}
+    for name, schema in STORE.items():
+        p = fs.Path(f"{folder}/{name}")
+        there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        out[name] = spark.read.parquet(f"{folder}/{name}") if there else spark.createDataFrame([], schema)
+    return out
+
+
+def create_store(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Writes the tables that are missing under ``folder`` as empty ones and opens the store; what is there stays."""
+    for name, df in open_store(spark, folder).items():
+        if df.isEmpty():
+            df.write.mode("ignore").parquet(f"{folder}/{name}")
+    return open_store(spark, folder)
