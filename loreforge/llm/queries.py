@@ -30,6 +30,14 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.pieces(les.unionByName(chu))
 
 
+def p1_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every text put together again from what is new in each of its pieces: its hash, and whether all pieces keep the limit."""
+    new = F.substring("text", F.col("overlap") + 1, F.length("text"))
+    rows = p1_pieces(spark, d).select("table_name", "row_id", "ord", new.alias("new"), (F.length("text") <= split.LIMIT).alias("fits"))
+    whole = F.array_join(F.array_sort(F.collect_list(F.struct("ord", "new")))["new"], "")  # no longer than the text
+    return rows.groupBy("table_name", "row_id").agg(F.sha2(whole, 256).alias("hash"), F.every("fits").alias("fits"))
+
+
 def _tag_sets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     tagged = current(read(spark, d, "lessons"), "tags").select("id", tag_array(F.col("tags")).alias("items"))
     members, reps = setjoin.classes(tagged, least=4)
@@ -149,6 +157,15 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return used.agg(n.alias("containers"), F.ceil(t / pack.CAPACITY).alias("least"), F.round(1 - t / (n * pack.CAPACITY), 6).alias("unused"))
 
 
+def p8_whole(spark: SparkSession, d: str) -> DataFrame:
+    """By the loader's estimates: every document's tokens over all its pieces, and whether every container it is in keeps the capacity."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "n_tokens")
+    packed = table(pack.pack(pack.count_tokens(docs, None)), "packed")
+    full = packed.groupBy("container").agg((F.sum("tokens") <= pack.CAPACITY).alias("fits"))
+    rows = packed.join(full, "container", "left").withColumn("fits", F.coalesce("fits", F.col("tokens") == 0))
+    return rows.groupBy(F.col("id").alias("doc_id")).agg(F.sum("tokens").alias("tokens"), F.every("fits").alias("fits"))
+
+
 def _passages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     return docs, read(spark, d, "eval_items").select("item_id", "passage")
@@ -164,6 +181,12 @@ def p9_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return leak.overlaps(*_passages(spark, d)).withColumnRenamed("id", "doc_id")
 
 
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and items with a run of 12 words or a quarter of the runs of four in common, and the share of them."""
+    found = leak.overlaps(*_passages(spark, d)).filter(F.col("run12") | (F.col("shared") >= 0.25))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "run12", F.round("shared", 9).alias("shared"))
+
+
 def _documents(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
 
@@ -187,7 +210,7 @@ def p10_bands(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_pieces, p2_found, p2_links, p2_archive, p3_found, p3_nearest, p4_found, p4_groups, p4_documents,
-        p7_found, p7_languages, p7_segments, p8_containers, p8_fill, p9_found, p9_overlaps, p10_found, p10_shares, p10_bands,
+        p1_found, p1_pieces, p1_whole, p2_found, p2_links, p2_archive, p3_found, p3_nearest, p4_found, p4_groups, p4_documents,
+        p7_found, p7_languages, p7_segments, p8_containers, p8_fill, p8_whole, p9_found, p9_overlaps, p9_shares, p10_found, p10_shares, p10_bands,
     )
 }

@@ -25,6 +25,16 @@ _VECTORS = """WITH v AS (
 u AS (SELECT id, (e::DOUBLE[])::DOUBLE[64] AS e FROM v),
 """
 
+_LEAKS = r"""WITH
+words AS (
+  SELECT doc_id AS k, list_filter(regexp_split_to_array(lower(strip_accents(coalesce(text, ''))), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w, false AS item FROM documents
+  UNION ALL
+  SELECT item_id, list_filter(regexp_split_to_array(lower(strip_accents(coalesce(passage, ''))), '[^\p{L}\p{N}]+'), lambda w: w <> ''), true FROM eval_items),
+g AS (SELECT DISTINCT k, item, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) AS s FROM words WHERE len(w) >= 4),
+r AS (SELECT DISTINCT k, item, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i : i + 11], ' '))) AS s FROM words WHERE len(w) >= 12),
+n AS (SELECT k, count(*) AS n FROM g WHERE item GROUP BY k),
+part AS (SELECT d.k AS doc_id, i.k AS item_id, count(*) AS c FROM g d JOIN g i ON d.s = i.s AND i.item AND NOT d.item GROUP BY 1, 2)"""
+
 SQL = {
     "p1_found": rf"""WITH {_CUR},
 texts AS (SELECT 'lessons' AS table_name, id AS row_id, content AS t FROM cur
@@ -58,16 +68,17 @@ SELECT doc_id, len(g) AS runs, CASE WHEN len(g) = 0 THEN 0 ELSE round(1 - len(li
     "p10_found": rf"""WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
 g AS (SELECT doc_id, list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4]) AS g FROM w WHERE len(w) >= 44)
 SELECT doc_id FROM g WHERE 1 - len(list_distinct(g)) / len(g) >= 0.3 - 1e-12""",
-    "p9_found": r"""WITH
-words AS (
-  SELECT doc_id AS k, list_filter(regexp_split_to_array(lower(strip_accents(coalesce(text, ''))), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w, false AS item FROM documents
-  UNION ALL
-  SELECT item_id, list_filter(regexp_split_to_array(lower(strip_accents(coalesce(passage, ''))), '[^\p{L}\p{N}]+'), lambda w: w <> ''), true FROM eval_items),
-g AS (SELECT DISTINCT k, item, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) AS s FROM words WHERE len(w) >= 4),
-r AS (SELECT DISTINCT k, item, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i : i + 11], ' '))) AS s FROM words WHERE len(w) >= 12),
-n AS (SELECT k, count(*) AS n FROM g WHERE item GROUP BY k),
-part AS (SELECT d.k AS doc_id, i.k AS item_id, count(*) AS c FROM g d JOIN g i ON d.s = i.s AND i.item AND NOT d.item GROUP BY 1, 2)
-SELECT doc_id, item_id FROM part JOIN n ON n.k = item_id WHERE c >= 0.5 * n - 1e-9
+    "p9_found": _LEAKS + """SELECT doc_id, item_id FROM part JOIN n ON n.k = item_id WHERE c >= 0.5 * n - 1e-9
 UNION
 SELECT d.k, i.k FROM r d JOIN r i ON d.s = i.s AND i.item AND NOT d.item""",
+    "p9_shares": _LEAKS
+    + """, both_ AS (SELECT doc_id, item_id, c FROM part UNION ALL SELECT d.k, i.k, NULL FROM r d JOIN r i ON d.s = i.s AND i.item AND NOT d.item),
+pair AS (SELECT doc_id, item_id, max(c) AS c, bool_or(c IS NULL) AS run12 FROM both_ GROUP BY 1, 2)
+SELECT doc_id, item_id, run12, round(coalesce(c, 0) / n, 9) AS shared FROM pair JOIN n ON n.k = item_id WHERE run12 OR coalesce(c, 0) >= 0.25 * n""",
+    "p1_whole": rf"""WITH {_CUR},
+texts AS (SELECT 'lessons' AS table_name, id AS row_id, content AS t FROM cur
+  UNION ALL SELECT 'lesson_chunks', id, arg_min(text, loaded_at) FROM lesson_chunks GROUP BY id),
+bare AS (SELECT table_name, row_id, trim(t, E' \t\r\n') AS t FROM texts)
+SELECT table_name, row_id, sha256(t) AS hash, true AS fits FROM bare WHERE t <> ''""",
+    "p8_whole": "SELECT doc_id, coalesce(n_tokens, ceil(length(coalesce(\"text\", '')) / 4))::BIGINT AS tokens, true AS fits FROM documents",
 }
