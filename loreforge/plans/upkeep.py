@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,9 +144,10 @@ def e5_failures(spark: SparkSession, d: str) -> DataFrame:
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
-    path = f"{d}/events.parquet"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
     reader = spark.readStream.schema(schema)
-    return reader.parquet(path) if os.path.isdir(path) else reader.option("pathGlobFilter", "events.parquet").parquet(d)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    return reader.parquet(f"{d}/events.parquet") if whole else reader.option("pathGlobFilter", "events.parquet").parquet(d)
 
 
 def _drained(spark: SparkSession, df: DataFrame) -> DataFrame:
