@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 LANGS = ("en", "pl", "de", "fr", "es")
 SAMPLE = 400
 PENALTY = 9.0
+UNKNOWN = 0.5  # nats that a word outside the vocabulary speaks for or against a language at most: it may be a name
 WHOLE = 4.0  # a whole sentence must be so many nats likelier in its language than without any
 
 # Frequent function words, without accents.
@@ -123,8 +124,15 @@ class Model:
         for a in set().union(*grams):
             q = (np.array([c[a] for c in grams]) + 0.2) / sums
             self.grams[a] = np.log(q / q.mean())
+        self.weight = self._fitted()
         self.cache: dict[str, np.ndarray] = {}
 
+    def _fitted(self) -> float:
+        """The weight of an n-gram's nats that best predicts what whole words are worth (least squares over the vocabulary)."""
+        known = [(np.sum(g, axis=0), t) for w, t in self.words.items() if (g := [self.grams[a] for a in self._grams(w) if a in self.grams])]
+        x, t = (np.array(v) for v in zip(*known)) if known else (np.zeros(1), np.zeros(1))
+        return float((x * t).sum() / max((x * x).sum(), 1e-9))
+
     @staticmethod
     def _grams(word: str) -> list[str]:
         w = f"<{word}>"
@@ -138,7 +146,7 @@ class Model:
         hit = self.cache.get(word)
         if hit is None:
             g = [self.grams[a] for a in self._grams(word) if a in self.grams]
-            hit = np.clip(0.15 * np.sum(g, axis=0), -0.5, 0.5) if g else np.zeros(len(LANGS))
+            hit = np.clip(self.weight * np.sum(g, axis=0), -UNKNOWN, UNKNOWN) if g else np.zeros(len(LANGS))
             if len(self.cache) < 200_000:
                 self.cache[word] = hit
         return hit
