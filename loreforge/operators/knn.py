@@ -3,7 +3,7 @@
 The vectors stay where they are: each task multiplies its batches with the queries and
 keeps k rows per query, so what is shuffled does not depend on the number of vectors per
 task. Queries are sent to the tasks in slices of at most ``SLICE``; more of them take more
-passes.
+passes. A task multiplies ``BLOCK`` queries with ``ROWS`` vectors at a time.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE = 20_000
+BLOCK, ROWS = 2_000, 1_000
 
 
 def dot(x: Column, y: Column) -> Column:
@@ -54,7 +55,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None
             ids.append(r["qid"])
             vs.append(r["v"])
             gs.append(-1 if r["grp"] is None else r["grp"])
-        sent = vectors.sparkSession.sparkContext.broadcast({d: (np.array(i), _unit(np.array(v, float)), np.array(g)) for d, (i, v, g) in by_dim.items()})
+        blocks = [(d, np.array(i[b : b + BLOCK]), _unit(np.array(v[b : b + BLOCK], float)), np.array(g[b : b + BLOCK])) for d, (i, v, g) in by_dim.items() for b in range(0, len(i), BLOCK)]
+        sent = vectors.sparkSession.sparkContext.broadcast(blocks)
         found = source.mapInPandas(_scan(sent, k, grouped), "qid long, id long, distance double")
         out = found if out is None else out.unionByName(found)
     w = Window.partitionBy("qid").orderBy("distance", "id")
@@ -68,35 +70,37 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(n > 0, n, 1)
 
 
+def _better(held: tuple | None, k: int, qid: np.ndarray, q: np.ndarray, grp: np.ndarray, ids: np.ndarray, v: np.ndarray, group: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of a block of queries, ``(distances, ids)``, after more vectors; ``held`` are those so far."""
+    # zero vectors: the squared lengths are not both one
+    d2 = (v**2).sum(1)[None] + (q**2).sum(1)[:, None] - 2 * q @ v.T
+    dist = np.round(np.sqrt(np.maximum(d2, 0)), 9)
+    dist[(qid[:, None] == ids[None]) if group is None else (grp[:, None] == group[None])] = np.inf
+    every = np.broadcast_to(ids, dist.shape)
+    if held is not None:
+        dist, every = np.hstack([held[0], dist]), np.hstack([held[1], every])
+    if dist.shape[1] > k:
+        pick = np.lexsort((every, dist), axis=1)[:, :k]
+        dist, every = np.take_along_axis(dist, pick, 1), np.take_along_axis(every, pick, 1)
+    return dist, np.array(every)
+
+
 def _scan(sent, k: int, grouped: bool):
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[int, tuple] = {}
         for pdf in frames:
             dims = pdf["v"].map(len).to_numpy()
-            for d, (qid, q, grp) in sent.value.items():
-                rows = np.flatnonzero(dims == d)
-                for s in range(0, len(rows), 1_000):
-                    at = rows[s : s + 1_000]
-                    v = _unit(np.stack(pdf["v"].to_numpy()[at]).astype(float))
-                    ids = pdf["id"].to_numpy()[at]
-                    # zero vectors: the squared lengths are not both one
-                    d2 = (v**2).sum(1)[None] + (q**2).sum(1)[:, None] - 2 * q @ v.T
-                    dist = np.round(np.sqrt(np.maximum(d2, 0)), 9)
-                    if grouped:
-                        dist[grp[:, None] == pdf["grp"].to_numpy()[at][None]] = np.inf
-                    else:
-                        dist[qid[:, None] == ids[None]] = np.inf
-                    held = best.get(d)
-                    if held is not None:
-                        dist, allid = np.hstack([held[0], dist]), np.hstack([held[1], np.broadcast_to(ids, dist.shape)])
-                    else:
-                        allid = np.broadcast_to(ids, dist.shape)
-                    if dist.shape[1] > k:
-                        pick = np.lexsort((allid, dist), axis=1)[:, :k]
-                        dist, allid = np.take_along_axis(dist, pick, 1), np.take_along_axis(allid, pick, 1)
-                    best[d] = (dist, np.array(allid))
-        for d, (dist, allid) in best.items():
-            qid = sent.value[d][0]
+            for dim in {d for d, *_ in sent.value}:
+                rows = np.flatnonzero(dims == dim)
+                for s in range(0, len(rows), ROWS):
+                    at = rows[s : s + ROWS]
+                    v, ids = _unit(np.stack(pdf["v"].to_numpy()[at]).astype(float)), pdf["id"].to_numpy()[at]
+                    group = pdf["grp"].to_numpy()[at] if grouped else None
+                    for b, (d, qid, q, grp) in enumerate(sent.value):
+                        if d == dim:
+                            best[b] = _better(best.get(b), k, qid, q, grp, ids, v, group)
+        for b, (dist, allid) in best.items():
+            qid = sent.value[b][1]
             ok = np.isfinite(dist)
             yield pd.DataFrame({"qid": np.broadcast_to(qid[:, None], dist.shape)[ok], "id": allid[ok], "distance": dist[ok]})
 
