@@ -33,18 +33,20 @@ def similarity_from_distance(d: Column) -> Column:
     return 1 - d * d / 2
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None = None) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None = None, same: bool = True) -> DataFrame:
     """``(qid, id, distance, similarity, rank)``: the k nearest of ``vectors(id, v)`` by distance of unit vectors.
 
-    ``queries(qid, v)``. With a column ``grp`` on both sides, vectors of the query's own group
+    ``queries(qid, v)``; where they are the ``same`` records as the vectors, none is its own
+    neighbour, else ids on both sides have nothing to do with each other. With a column ``grp`` on both sides, vectors of the query's own group
     are skipped. Null vectors take no part, a vector of another dimension than the query is
     never its neighbour, zero vectors are at distance 1 of all others. Ties go to the smaller
     id. ``floor`` drops neighbours below a similarity after the cut to k.
     """
-    grouped = "grp" in queries.columns and "grp" in vectors.columns
-    asked = queries.filter(F.col("v").isNotNull()).select("qid", "v", (F.col("grp") if grouped else F.lit(None)).cast("long").alias("grp"))
+    named = "grp" in queries.columns and "grp" in vectors.columns
+    grouped = named or not same  # without names no two are of one group
+    asked = queries.filter(F.col("v").isNotNull()).select("qid", "v", (F.col("grp") if named else F.lit(None)).cast("long").alias("grp"))
     slices = max(1, -(-asked.count() // SLICE))
-    source = vectors.filter(F.col("v").isNotNull()).select("id", "v", (F.col("grp") if grouped else F.lit(None)).cast("long").alias("grp"))
+    source = vectors.filter(F.col("v").isNotNull()).select("id", "v", (F.col("grp") if named else F.lit(None)).cast("long").alias("grp"))
     out = None
     for s in range(slices):
         part = asked.filter(F.pmod(F.xxhash64("qid"), F.lit(slices)) == s).collect()  # one slice of a stated query set

@@ -161,7 +161,7 @@ def r6_hybrid(spark: SparkSession, d: str) -> DataFrame:
     e = embed.hashing_embedder()
     vs = embed.embed(st.passages.select("id", "text"), e).filter("ok").select("id", "v")
     qs = embed.embed(asked(spark, d).select(F.col("query_id").alias("id"), F.col("query").alias("text")), e).filter("ok").select(F.col("id").alias("qid"), "v")
-    near = knn.nearest(qs, vs, retrieve.depth() * 3, 0.5).select(F.col("qid").alias("query_id"), F.col("id").alias("chunk_id"), "similarity")
+    near = knn.nearest(qs, vs, retrieve.depth() * 3, 0.5, same=False).select(F.col("qid").alias("query_id"), F.col("id").alias("chunk_id"), "similarity")
     return retrieve.recall(st, asked(spark, d), _chains(spark, d), near=table(near, "near"))
 
 
@@ -384,24 +384,40 @@ _WALK = """walk(id, node, dist, trail) AS (
 chain AS (SELECT id, max(CASE WHEN list_contains(trail, node) THEN dist ELSE dist + 1 END)::BIGINT AS recurrence FROM walk GROUP BY id)"""
 
 
-def _fused(filtered: bool | str = False) -> str:
-    names = ["all", "any", "prefix", "chunk_all", "chunk_any"]
-    arms = " UNION ALL ".join(f"SELECT query_id, id, rank, '{n}' AS r, {'chunk_id' if n.startswith('chunk') else 'NULL'} AS chunk_id FROM q_{n}" for n in names)
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+#: The hashed bags of words of queries and passages, and the passages near each query.
+_HASHED = rf"""said_(side, k, t) AS (SELECT 'q', item_id, query FROM eval_items UNION ALL SELECT 'p', id, "text" FROM live),
+word_ AS (SELECT side, k, unnest(list_filter(regexp_split_to_array(lower(coalesce(t, '')), '{_SPACE}'), lambda w: w <> '')) AS w FROM said_),
+code_ AS (SELECT DISTINCT w, list_reduce(list_transform(regexp_extract_all(w, '(?s).'), lambda c: ord(c)::BIGINT), lambda h, c: (h * 31 + c) & 4294967295) % 64 AS dim FROM word_),
+count_ AS (SELECT side, k, dim, count(*) AS n FROM word_ JOIN code_ USING (w) GROUP BY ALL),
+float_ AS (SELECT side, k, dim, (n / sqrt(sum(n * n) OVER (PARTITION BY side, k)))::FLOAT::DOUBLE AS x FROM count_),
+unit_ AS (SELECT side, k, dim, x / sqrt(sum(x * x) OVER (PARTITION BY side, k)) AS x FROM float_),
+far_ AS (SELECT q.k AS query_id, p.k AS chunk_id, round(sqrt(greatest(2 - 2 * sum(q.x * p.x), 0)), 9) AS d FROM unit_ q JOIN unit_ p ON p.dim = q.dim AND q.side = 'q' AND p.side = 'p' GROUP BY 1, 2),
+near_ AS (SELECT *, round(1 - d * d / 2, 9) AS s FROM far_ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) <= 150),
+v_one AS (SELECT query_id, lesson_id AS id, chunk_id, s FROM near_ JOIN live ON live.id = chunk_id WHERE s >= 0.5 QUALIFY row_number() OVER (PARTITION BY query_id, lesson_id ORDER BY s DESC, chunk_id) = 1),
+q_vector AS (SELECT query_id, id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM v_one QUALIFY rank <= 50)"""
+
+
+def _fused(filtered: bool | str = False, vector: bool = False) -> str:
+    names = ["all", "any", "prefix", "chunk_all", "chunk_any", *(["vector"] if vector else [])]
+    passage = ("chunk_all", "chunk_any", "vector")
+    arms = " UNION ALL ".join(f"SELECT query_id, id, rank, '{n}' AS r, {'chunk_id' if n in passage else 'NULL'} AS chunk_id FROM q_{n}" for n in names)
     score = " + ".join(f"coalesce({retrieve.WEIGHTS[n]}::DOUBLE / (60 + min(rank) FILTER (r = '{n}')), 0.0::DOUBLE)" for n in names)
     who = ", ".join(f"CASE WHEN count(*) FILTER (r = '{n}') > 0 THEN '{n}' END" for n in names)
     return (
         _retrievers(filtered).replace("WITH ", "WITH RECURSIVE ", 1)
+        + (f",\n{_HASHED}" if vector else "")
         + f""",
 {_WALK},
 list AS ({arms}),
 fused AS (SELECT query_id, id, 0.0::DOUBLE + {score} AS base, list_filter([{who}], lambda x: x IS NOT NULL) AS who,
-  coalesce(min(chunk_id) FILTER (r = 'chunk_all'), min(chunk_id) FILTER (r = 'chunk_any')) AS chunk_id FROM list GROUP BY 1, 2),
+  coalesce(min(chunk_id) FILTER (r = 'chunk_all'), min(chunk_id) FILTER (r = 'chunk_any'), min(chunk_id) FILTER (r = 'vector')) AS chunk_id FROM list GROUP BY 1, 2),
 boost AS (SELECT severity, 1 + 0.3 * (1 - count(*)::DOUBLE / (SELECT count(*) FROM cur)) AS boost FROM cur WHERE severity IN ('critical', 'important') GROUP BY 1),
 scored AS (SELECT query_id, f.id, content, who, f.chunk_id,
   round(base * coalesce(boost, 1) * CASE WHEN coalesce(scope, 'project') = 'global' THEN 1.05 ELSE 1 END * least(1.3, 1 + 0.1 * (greatest(coalesce(recurrence, 1), 1) - 1)), 9) AS score
   FROM fused f JOIN cur ON cur.id = f.id LEFT JOIN boost USING (severity) LEFT JOIN chain ON chain.id = f.id),
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, len(who) DESC, id) AS rank FROM scored QUALIFY rank <= 10),
-cov AS (SELECT query_id, id, count(*) FILTER (contains(lower(content), s))::INTEGER AS coverage FROM top JOIN stemmed USING (query_id) GROUP BY 1, 2),
+cov AS (SELECT query_id, id, CASE WHEN NOT bool_or(list_contains(who, 'vector')) THEN count(*) FILTER (contains(lower(content), s))::INTEGER END AS coverage FROM top JOIN stemmed USING (query_id) GROUP BY 1, 2),
 floor AS (SELECT query_id, least(3, greatest(2, ceil(n * 0.6::DOUBLE)))::INTEGER AS coverage_floor FROM shape)
 """
     )
@@ -527,6 +543,9 @@ SELECT id, len(p) AS paragraphs, p[1] AS "first" FROM p WHERE len(p) > 0""",
     "g5_recurrence": f"WITH RECURSIVE {CUR}, {_WALK} SELECT id, recurrence, round(CASE WHEN recurrence <= 1 THEN 1 ELSE least(1.3, 1 + 0.1 * (recurrence - 1)) END, 6)::DOUBLE AS boost FROM chain",
     "f1_recall": _fused()
     + """SELECT query_id, rank::INTEGER AS rank, id, score, array_to_string(who, ',') AS matched_by, chunk_id, coverage, coverage_floor, coverage < coverage_floor AS thin
+FROM top JOIN cov USING (query_id, id) JOIN floor USING (query_id)""",
+    "r6_hybrid": _fused(vector=True)
+    + """SELECT query_id, rank::INTEGER AS rank, id, score, array_to_string(who, ',') AS matched_by, chunk_id, coverage, coverage_floor, coverage < coverage_floor AS thin
 FROM top JOIN cov USING (query_id, id) JOIN floor USING (query_id)""",
     "f1_recall_filtered": _fused(True) + "SELECT query_id, rank::INTEGER AS rank, id FROM top",
     "r10_prompt_scores": _PROMPT + "SELECT * FROM hooked",

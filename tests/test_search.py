@@ -114,3 +114,18 @@ def test_backfill(spark):
     assert tuple(embed.backfill(texts, have, down, 2)[1].first()) == (0, 2, 2)
     with pytest.raises(Exception, match="dimension"):
         embed.upsert(have, spark.createDataFrame([(9, [1.0])], have.schema), 2).collect()
+
+
+def test_queries_from_elsewhere_may_have_the_ids_of_vectors(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(40)], "id long, v array<float>")
+    q = v.filter("id < 5").withColumnRenamed("id", "qid")
+    first = lambda df: {r["qid"]: r["id"] for r in df.filter("rank = 1").collect()}
+    assert first(knn.nearest(q, v, 3, same=False)) == {i: i for i in range(5)}
+    assert first(knn.nearest(q, v, 3)) == {i: i + 7 for i in range(5)}
+    named = lambda df: df.withColumn("grp", F.col(df.columns[0]) % 7)
+    assert all(r["id"] % 7 != r["qid"] % 7 for r in knn.nearest(named(q), named(v), 3).collect())
+    whole = sorted(map(str, knn.nearest(q, v, 3).collect()))
+    monkeypatch.setattr(knn, "BLOCK", 2)
+    monkeypatch.setattr(knn, "ROWS", 3)
+    monkeypatch.setattr(knn, "SLICE", 3)
+    assert sorted(map(str, knn.nearest(q, v, 3).collect())) == whole
