@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -272,6 +273,26 @@ def test_token_counts(spark):
     assert {r["id"]: r["tokens"] for r in pack.count_tokens(df, None).collect()} == {1: 4, 2: 7, 3: 0}
 
 
+def test_tokens_that_cannot_be_counted(spark, data, tmp_path, monkeypatch):
+    from loreforge.llm import queries
+
+    df = spark.createDataFrame([(1, "some words here", 7)], "id long, text string, n_tokens int")
+    none, short = str(tmp_path / "none.tiktoken"), str(tmp_path / "short.tiktoken")
+    with open(pack.TOKENIZER, "rb") as f:
+        (tmp_path / "short.tiktoken").write_bytes(b"".join(f.readlines()[:1000]))
+    for path, error in ((none, FileNotFoundError), (short, ValueError)):
+        with pytest.raises(error):
+            pack.count_tokens(df, path)
+    assert pack.at_hand(none) is None and pack.at_hand(short) == short
+    assert queries.p8_fill(spark, data).first()["counted"] is True
+    monkeypatch.setitem(sys.modules, "tiktoken", None)
+    with pytest.raises(ImportError):
+        pack.count_tokens(df)
+    got = queries.p8_containers(spark, data).groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.some("counted").alias("counted"))
+    assert {(r["doc_id"], r["tokens"], r["counted"]) for r in got.collect()} == {(r["doc_id"], r["tokens"], False) for r in queries.p8_whole(spark, data).collect()}
+    assert queries.p8_fill(spark, data).first()["counted"] is False
+
+
 def test_containers_of_many_texts():
     sizes = [12, 11, 9, 9, 5, 5, 4, 4]
     assert len(pack.best_fit(sizes, 30)) > len(pack.complete(sizes, 30)) == 2
